@@ -29,8 +29,8 @@ WITH ranked AS (
   FROM documents WHERE lang IN ('en', 'fr')
 ), paired AS (
   SELECT a.rank, a.doc_id AS en_id, b.doc_id AS fr_id, a.source,
-         len(list_filter(regexp_split_to_array(a.text, '\\s+'), x -> x <> '')) AS n_en,
-         len(list_filter(regexp_split_to_array(b.text, '\\s+'), x -> x <> '')) AS n_fr
+         len(list_filter(regexp_split_to_array(a.text, '\\s+'), lambda x: x <> '')) AS n_en,
+         len(list_filter(regexp_split_to_array(b.text, '\\s+'), lambda x: x <> '')) AS n_fr
   FROM ranked a JOIN ranked b ON a.rank = b.rank AND a.lang = 'en' AND b.lang = 'fr'
 )
 """
