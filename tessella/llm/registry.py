@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, sharding
+from tessella.llm import bpe, chat, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scans": secrets.op2_secret_scans,
         "op3_bpe": bpe.op3_bpe,
         "op6_sharding": sharding.op6_sharding,
+        "op7_chat_formatting": chat.op7_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_secret_scans": secrets.ORACLE,
+        "op7_chat_formatting": chat.ORACLE,
+    }
