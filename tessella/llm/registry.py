@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, secrets, sharding
+from tessella.llm import bpe, chat, contamination, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_bpe": bpe.op3_bpe,
+        "op4_decontamination": contamination.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op7_chat_formatting": chat.op7_chat_formatting,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scans": secrets.ORACLE,
+        "op4_decontamination": contamination.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
     }
