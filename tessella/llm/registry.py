@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, contamination, secrets, sharding
+from tessella.llm import bpe, chat, contamination, neighbours, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_bpe": bpe.op3_bpe,
         "op4_decontamination": contamination.op4_decontamination,
         "op6_sharding": sharding.op6_sharding,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_toxicity": toxicity.op8_toxicity,
+        "op9_ann": neighbours.op9_ann,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_secret_scans": secrets.ORACLE,
         "op4_decontamination": contamination.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
+        "op9_ann": neighbours.ORACLE,
     }
