@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, contamination, neighbours, quality, secrets, sharding, toxicity
+from tessella.llm import bpe, chat, contamination, neighbours, quality, repeats, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_ann": neighbours.op9_ann,
+        "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
     }
 
 
