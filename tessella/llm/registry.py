@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, contamination, neighbours, quality, repeats, secrets, sharding, toxicity
+from tessella.llm import bpe, chat, contamination, jaccard, neighbours, quality, repeats, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_bpe": bpe.op3_bpe,
         "op4_decontamination": contamination.op4_decontamination,
+        "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
         "op6_sharding": sharding.op6_sharding,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_toxicity": toxicity.op8_toxicity,
