@@ -166,13 +166,15 @@ def _met(packed: DataFrame, fragments: int) -> DataFrame:
 
     def meet(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
         token, id_, n, at = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<i8", "<i4", "<i4")))
+        if not len(token):
+            return _batch(fields, [[]] * 4)
         order = np.lexsort((id_, token))
         token, id_, n, at = token[order], id_[order], n[order], at[order]
         same_token = np.concatenate(([False], token[1:] == token[:-1]))
         first = ~(same_token & np.concatenate(([False], id_[1:] == id_[:-1])))  # copies in other batches
         token, id_, n, at = token[first], id_[first], n[first], at[first]
-        same = token[1:] == token[:-1] if len(token) else np.empty(0, bool)
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(token) else np.empty(0, bool)
+        same = token[1:] == token[:-1]
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
         return _batch(fields, [token[shared].view(np.int64), id_[shared], n[shared].astype(np.int64), at[shared]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
