@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import pairs
+from tessella.plans import pairs, texts
 
-FAMILIES = [pairs]
+FAMILIES = [pairs, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
