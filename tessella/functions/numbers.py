@@ -34,51 +34,45 @@ def unit_words(prefix: str) -> list[str | None]:
     return words
 
 
-def _linked(word: Column) -> Column:
-    """The word after an "and", which is n' before a vowel."""
-    return F.concat(F.when(F.rlike(word, F.lit("^[aeiou]")), F.lit(" n'")).otherwise(F.lit(" na ")), word)
+def _link(words) -> list[str | None]:
+    """Each word after an "and", which is n' before a vowel."""
+    return [None if w is None else (" n'" if w[0] in "aeiou" else " na ") + w for w in words]
 
 
-def _words(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _pick(words, n: Column) -> Column:
+    return F.element_at(words if isinstance(words, Column) else F.array(*[F.lit(w) for w in words]), n)
 
 
-def _pick(words: Column, n: Column) -> Column:
-    return F.element_at(words, n)
-
-
-def units_for(prefix: Column, prefixes: tuple[str, ...]) -> Column:
-    """The unit words of a prefix column that holds one of ``prefixes``."""
-    found = F.when(F.lit(False), _words(unit_words("a")))
+def units_for(prefix: Column, prefixes: tuple[str, ...]) -> tuple[Column, Column]:
+    """The unit words of a prefix column that holds one of ``prefixes``, plain and after an "and"."""
+    plain = linked = F
     for p in prefixes:
-        found = found.when(prefix == p, _words(unit_words(p)))
-    return found
+        words = unit_words(p)
+        plain = plain.when(prefix == p, F.array(*[F.lit(w) for w in words]))
+        linked = linked.when(prefix == p, F.array(*[F.lit(w) for w in _link(words)]))
+    return plain, linked
 
 
-def _below_thousand(own: Column, n: Column) -> Column:
-    """Words of 1 to 999, with the given unit words; "" for 0."""
+def _below_thousand(units, linked_units, n: Column, linked: bool = False) -> Column:
+    """Words of 1 to 999, after an "and" if ``linked``; "" for 0."""
     h, t, u = (F.floor(n / 100).cast("int"), F.floor(F.pmod(n, F.lit(100)) / 10).cast("int"), F.pmod(n, F.lit(10)).cast("int"))
-    hundreds = F.when(h > 0, _pick(_words(HUNDREDS), h)).otherwise("")
-    tens = F.when(t > 0, F.concat(F.when(h > 0, " na ").otherwise(""), _pick(_words(TENS), t))).otherwise("")
-    unit = _pick(own, u)
-    units = F.when(u > 0, F.when((h > 0) | (t > 0), _linked(unit)).otherwise(unit)).otherwise("")
-    return F.when(n == 10, TEN).otherwise(F.concat(hundreds, tens, units))
+    own = lambda words: _link(words) if linked else words
+    hundreds = F.when(h > 0, _pick(own(HUNDREDS), h)).otherwise("")
+    tens = F.when(t > 0, F.when(h > 0, _pick([" na " + w for w in TENS], t)).otherwise(_pick(own(TENS), t))).otherwise("")
+    last = F.when(u > 0, F.when((h > 0) | (t > 0), _pick(linked_units, u)).otherwise(_pick(linked_units if linked else units, u))).otherwise("")
+    return F.when(n == 10, own([TEN])[0]).otherwise(F.concat(hundreds, tens, last))
 
 
-def spell(units: Column, n: Column) -> Column:
+def spell(units: tuple[Column, Column], n: Column) -> Column:
     """The number in words, with the unit words of its prefix: "" for 0, null if the prefix cannot count it; what is above 10^15 is lost."""
     n = n.cast("bigint")
     groups = [F.pmod(F.floor(n / (1000**k)), F.lit(1000)).cast("int") for k in range(5)]
     out = F.lit("")
     for k in range(4, 0, -1):
-        word, own = SCALES[k - 1]
-        higher = groups[k + 1 : 5]
-        any_higher = F.lit(False)
-        for g in higher:
-            any_higher = any_higher | (g > 0)
-        said = F.concat(F.lit(word), _below_thousand(_words(unit_words(own)), groups[k]))
-        link = F.lit(" n'") if k == 1 else F.lit(" na ")
-        out = F.concat(out, F.when(groups[k] > 0, F.concat(F.when(any_higher, link).otherwise(""), said)).otherwise(""))
-    low = _below_thousand(units, groups[0])
-    last = F.when(groups[0] == 0, "").when(n >= 1000, _linked(low)).otherwise(low)
-    return F.concat(out, last)
+        word, prefix = SCALES[k - 1]
+        words = unit_words(prefix)
+        link = F.when(F.lit(False), "") if k == 4 else F.when(n >= 1000 ** (k + 1), " n'" if k == 1 else " na ")
+        said = F.concat(link.otherwise(""), F.lit(word), _below_thousand(words, _link(words), groups[k]))
+        out = F.concat(out, F.when(groups[k] > 0, said).otherwise(""))
+    low = F.when(n >= 1000, _below_thousand(*units, groups[0], True)).otherwise(_below_thousand(*units, groups[0]))
+    return F.concat(out, F.when(groups[0] == 0, "").otherwise(low))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import pairs, texts
+from tessella.plans import pairs, sequences, texts
 
-FAMILIES = [pairs, texts]
+FAMILIES = [pairs, sequences, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

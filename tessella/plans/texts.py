@@ -106,8 +106,7 @@ PREFIXES = ("ba", "i", "a", "bi", "tu", "ka", "zi", "ha", "gu")
 def number_speller(spark: SparkSession, base: str) -> DataFrame:
     n = table(spark, base, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 1000000007).alias("n"))
     prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("o_orderkey") % len(PREFIXES) + 1).cast("int"))
-    named = n.withColumn("units", numbers.units_for(prefix, PREFIXES))
-    return named.select("o_orderkey", "n", numbers.spell(F.col("units"), F.col("n")).alias("words"))
+    return n.select("o_orderkey", "n", numbers.spell(numbers.units_for(prefix, PREFIXES), F.col("n")).alias("words"))
 
 
 def uri_idempotent(spark: SparkSession, base: str) -> DataFrame:
