@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import pairs, sequences, texts
+from tessella.plans import decoding, pairs, sequences, texts
 
-FAMILIES = [pairs, sequences, texts]
+FAMILIES = [pairs, sequences, texts, decoding]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
