@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.runtime import ship_code
+
 
 def _greedy(lengths, budget: int) -> list[int]:
     """Number of the batch of each row: a batch closes before the row that would exceed the budget."""
@@ -36,6 +38,7 @@ def token_budget_batches(rows: DataFrame, key: str, length: str, order: list[str
         pdf["batch"] = _greedy(pdf[length].tolist(), budget)
         return pdf[[*columns, "batch"]]
 
+    ship_code(rows.sparkSession)
     out = rows.groupBy(key).applyInPandas(fold, schema)
     if drop_last:
         out = out.withColumn("_last", F.max("batch").over(Window.partitionBy(key))).where("batch < _last").drop("_last")
@@ -74,6 +77,7 @@ def mark_buckets(rows: DataFrame, key: str, length: str, order: list[str], bucke
         pdf["bucket"] = [min(m, max(marks[-1] - 1, 0)) for m in marks]
         return pdf[[*columns, "bucket"]]
 
+    ship_code(rows.sparkSession)
     return rows.groupBy(key).applyInPandas(fold, schema)
 
 
