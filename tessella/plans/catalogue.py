@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import decoding, evaluation, pairs, sequences, texts
+from tessella.plans import decoding, evaluation, layouts, pairs, sequences, texts
 
-FAMILIES = [pairs, sequences, texts, decoding, evaluation]
+FAMILIES = [pairs, sequences, texts, decoding, evaluation, layouts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
