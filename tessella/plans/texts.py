@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import numbers, text
+from tessella.functions import generate, numbers, text
+from tessella.functions.detokenise import detokenised
+from tessella.operators.translate import lexicon_model, translate
 from tessella.sources.tables import line_scan, table
 
 
@@ -104,7 +106,7 @@ PREFIXES = ("ba", "i", "a", "bi", "tu", "ka", "zi", "ha", "gu")
 
 
 def number_speller(spark: SparkSession, base: str) -> DataFrame:
-    n = table(spark, base, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 1000000007).alias("n"))
+    n = table(spark, base, "orders").select(F.inline(F.array(F.struct("o_orderkey", (F.col("o_orderkey") * 7919 % 1000000007).alias("n")))))
     prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("o_orderkey") % len(PREFIXES) + 1).cast("int"))
     return n.select("o_orderkey", "n", numbers.spell(numbers.units_for(prefix, PREFIXES), F.col("n")).alias("words"))
 
@@ -129,7 +131,27 @@ def word_split_candidates(spark: SparkSession, base: str) -> DataFrame:
     return best.select("w", F.col("m.score").alias("score"), F.concat_ws(" ", "m.a", "m.b").alias("split"))
 
 
+def detokenise(spark: SparkSession, base: str) -> DataFrame:
+    """The first forty tokens of each document, joined back into a sentence."""
+    words = F.slice(text.tokens(F.col("text")), 1, 40)
+    return _docs(spark, base).select("doc_id", detokenised(words).alias("sentence"))
+
+
+def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:
+    """Generated numbers with their prefix and format; 2,000 of them."""
+    return generate.numeric_pairs(spark, 2_000).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
+
+
+def translate_fallback(spark: SparkSession, base: str) -> DataFrame:
+    """Benchmark items through a lexicon model; what it cannot translate stays itself and is marked."""
+    made = translate(table(spark, base, "benchmark"), lexicon_model({"the": "iki", "and": "na"}))
+    return made.select("item_id", "translation", "ok")
+
+
 QUERIES = {
+    "detokenise": detokenise,
+    "numeric_pairs": numeric_pairs,
+    "translate_fallback": translate_fallback,
     "line_scan": line_scan_query,
     "min_length_filter": min_length_filter,
     "squeeze_scrub": squeeze_scrub,
