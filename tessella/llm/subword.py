@@ -74,7 +74,7 @@ def features(texts: list[str], spec: Spec) -> tuple[np.ndarray, np.ndarray, np.n
         h = data.copy()
         inner = np.zeros(n, np.int32)
         np.cumsum(space, out=inner)
-        for k in range(2, max(spec.n_grams) + 1):
+        for k in range(2, min(max(spec.n_grams), n) + 1):
             h = h[: n - k + 1] * R + data[k - 1 :]
             if k in spec.n_grams:
                 # no space strictly inside: edges are marked by the space itself
