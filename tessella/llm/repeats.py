@@ -27,8 +27,8 @@ LEAST = 400
 GRAM = 160
 HOT = 256  # different contexts of one key, from which it is split
 BLOCKS = (48, 12, 3, 1)  # windows in a block, at each splitting
-CHARS_AT_ONCE = 3_000_000
-MOST_STARTS = 8_000_000  # windows of one document that are hashed at a time
+CHARS_AT_ONCE = 1_500_000
+MOST_STARTS = 1_000_000  # windows of one document that are hashed at a time
 CHUNK_BYTES = 600_000  # contexts in one suffix array
 _AT_BITS = np.uint64(24)
 
@@ -54,7 +54,7 @@ class Hashes:
         n = len(data) + 1
         for k, base in ((which, _BASE[which]), (which + 2, pow(_BASE[which], -1, 1 << 64))):
             if len(self.powers.get(k, ())) < n:
-                size = 1 << max(22, n.bit_length())
+                size = 1 << max(20, (n - 1).bit_length())
                 self.powers[k] = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))))
         self.back = self.powers[which + 2]
         self.sums = np.zeros(n, np.uint64)
