@@ -27,10 +27,11 @@ from tessella.llm.repeats import Hashes
 SHINGLE = 5
 NUM, DEN = 3, 4  # the least similarity, as a fraction
 FREQUENT = 20_000  # n-grams that come last in the order; which ones they are changes no result
-SEEN_OFTEN = 8  # documents of one batch that share an n-gram, from which it is counted
+SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it is counted
 POSTINGS_AT_ONCE = 1_500_000  # of rare n-grams in one fragment task
 PARTS = 8  # vertical fragments in which overlaps are counted
-CHARS_AT_ONCE = 6_000_000
+CHARS_AT_ONCE = 2_000_000
+FILTER_BITS = 1 << 25  # of the filter that keeps unasked documents out of a shuffle; it may let some pass
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -54,8 +55,22 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
 
-def _name(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest()
+def _name(tokens: np.ndarray) -> int:
+    """Name of a set, 64 bits of a cryptographic hash; equal sets have equal names."""
+    return int.from_bytes(hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _counts(tokens: np.ndarray) -> bytes:
+    """How many n-grams lie in each of equal stretches of the hashes, about three a stretch; 255 stands for more."""
+    bits = min(max(max(len(tokens) // 3, 1).bit_length(), 6), 13)
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_overlap(a: bytes, b: bytes) -> int:
+    """No fewer than the n-grams that two sets share, from their counts: a stretch holds no more than the smaller count."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in sorted((a, b), key=len))
+    x[x == 255], y[y == 255] = 1 << 30, 1 << 30
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -64,7 +79,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n, node (the set's name) and, on one row of each batch, its often-seen n-grams."""
+    """doc_id, th (hash of the text), n, node (the set's name), counts and, on one row of each batch, its often-seen n-grams."""
     kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +91,11 @@ def _sets(docs: DataFrame) -> DataFrame:
             often = counts >= SEEN_OFTEN
             common = [[{"t": t, "c": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())], *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_name, sets)), pa.binary()), pa.array(common, kind)],
-                ["doc_id", "th", "n", "node", "common"],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_name, sets)), pa.int64()), pa.array(list(map(_counts, sets)), pa.binary()), pa.array(common, kind)],
+                ["doc_id", "th", "n", "node", "counts", "common"],
             )
 
-    return map_batches(_texts(docs), run, "doc_id long, th long, n long, node binary, common array<struct<t:long,c:long>>")
+    return map_batches(_texts(docs), run, "doc_id long, th long, n long, node long, counts binary, common array<struct<t:long,c:long>>")
 
 
 class Order:
@@ -109,51 +124,42 @@ class Order:
         return np.concatenate([rare, last])[:p], len(rare)
 
 
-def _short(node: bytes) -> int:
-    """The first seven bytes of a set's name as a number, as ``_short_of`` has it."""
-    return int.from_bytes(node[:7], "big")
-
-
-def _short_of(node: str):
-    return F.conv(F.substring(F.hex(node), 1, 14), 16, 10).cast("long")
+_POSTINGS = [("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("w", pa.int32()), ("center", pa.int64()), ("n_c", pa.int64()), ("pos_c", pa.int32())]
 
 
 def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
-    """Prefix n-grams: of rare ones a packed row for each batch and fragment, of frequent ones a row each (part -1)."""
-    schema = "part int, t long, id long, n long, pos int, tokens binary, ids binary, ns binary, ats binary"
+    """Prefix n-grams, packed: a row for each batch and fragment, of rare n-grams (parts from 0 on) and, dealt
+    by hash to as many parts (numbered from -1 down), of frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Order = order.value
+        fields = [("part", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "nodes", "ns", "ats", "ws")]]
         for batch in by_chars(batches, 2, CHARS_AT_ONCE):
-            seen: set[bytes] = set()
-            tokens, ids, ns, ats, rare = [], [], [], [], []
+            seen: set[int] = set()
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            rare = []
             for s in shingle_sets([t.encode() for t in batch.column(2).to_pylist()]):
                 node = _name(s)
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
                 first, n_rare = own.prefix(s)
-                tokens.append(first)
-                ids.append(np.full(len(first), _short(node), np.int64))
-                ns.append(np.full(len(first), len(s), np.int32))
-                ats.append(np.arange(len(first), dtype=np.int32))
-                rare.append(np.arange(len(first)) < n_rare)
-            if not tokens:
+                k = len(first)
+                for column, x in zip(columns, (first, np.full(k, node, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, k - n_rare, np.int32))):
+                    column.append(x)
+                rare.append(np.arange(k) < n_rare)
+            if not rare:
                 continue
-            token, id_, n, at, is_rare = map(np.concatenate, (tokens, ids, ns, ats, rare))
-            part = ((token >> np.uint64(33)).astype(np.int64) * fragments) >> 31
-            part[~is_rare] = -1
+            values, is_rare = [np.concatenate(c) for c in columns], np.concatenate(rare)
+            part = ((values[0] >> np.uint64(33)).astype(np.int64) * fragments) >> 31
+            mixed = (values[0] ^ values[1].view(np.uint64)) >> np.uint64(33)
+            part = np.where(is_rare, part, -1 - ((mixed.astype(np.int64) * fragments) >> 31))
             by_part = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[by_part], np.arange(fragments + 1))
-            often = by_part[: cuts[0]]
-            k = len(often)
-            yield _batch(schema_of, [np.full(k, -1, np.int32), token[often].view(np.int64), id_[often], n[often].astype(np.int64), at[often], *[[None] * k] * 4])
-            packed = [by_part[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            k = fragments
-            yield _batch(schema_of, [np.arange(k, dtype=np.int32), *[[None] * k] * 4, [token[x].tobytes() for x in packed], [id_[x].tobytes() for x in packed], [n[x].tobytes() for x in packed], [at[x].tobytes() for x in packed]])
+            names, starts = np.unique(part[by_part], return_index=True)
+            packed = np.split(by_part, starts[1:])
+            yield _batch(fields, [names.astype(np.int32), *[[v[x].tobytes() for x in packed] for v in values]])
 
-    schema_of = [("part", pa.int32()), ("t", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "ids", "ns", "ats")]]
-    return map_batches(_texts(docs), run, schema)
+    return map_batches(_texts(docs), run, "part int, tokens binary, nodes binary, ns binary, ats binary, ws binary")
 
 
 def _batch(fields: list, columns: list) -> pa.RecordBatch:
@@ -161,36 +167,42 @@ def _batch(fields: list, columns: list) -> pa.RecordBatch:
 
 
 def _met(packed: DataFrame, fragments: int) -> DataFrame:
-    """Postings of the rare n-grams that more than one set's prefix holds: each fragment sorts its own."""
-    fields = [("t", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pos", pa.int32())]
-
-    def meet(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
-        token, id_, n, at = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<i8", "<i4", "<i4")))
-        if not len(token):
-            return _batch(fields, [[]] * 4)
-        order = np.lexsort((id_, token))
-        token, id_, n, at = token[order], id_[order], n[order], at[order]
-        same_token = np.concatenate(([False], token[1:] == token[:-1]))
-        first = ~(same_token & np.concatenate(([False], id_[1:] == id_[:-1])))  # copies in other batches
-        token, id_, n, at = token[first], id_[first], n[first], at[first]
+    """Postings of n-grams. A fragment of rare ones sorts its own, drops those that one set alone holds and
+    names a central set for each: the one that shares most here. Frequent ones pass (no centre yet)."""
+
+    def meet(rows: list[tuple[bytes, ...]], rare: bool) -> pa.RecordBatch:
+        token, node, n, at, w = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<i8", "<i4", "<i4", "<i4")))
+        order = np.lexsort((node, token))
+        token, node, n, at, w = token[order], node[order], n[order], at[order], w[order]
+        first = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))[: len(token)]  # copies in other batches
+        token, node, n, at, w = token[first], node[first], n[first], at[first], w[first]
+        none = [None] * len(token)
+        if not rare or not len(token):
+            return _batch(_POSTINGS, [token.view(np.int64), node, n.astype(np.int64), at, w, none, none, none])
         same = token[1:] == token[:-1]
         shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        return _batch(fields, [token[shared].view(np.int64), id_[shared], n[shared].astype(np.int64), at[shared]])
+        token, node, n, at = token[shared], node[shared], n[shared].astype(np.int64), at[shared]
+        _, who, count = np.unique(node, return_inverse=True, return_counts=True)
+        order = np.lexsort((node, count[who], token))
+        token, node, n, at = token[order], node[order], n[order], at[order]
+        last = np.flatnonzero(np.concatenate((token[1:] != token[:-1], [True]))) if len(token) else np.empty(0, np.int64)
+        centre = np.repeat(last, np.diff(np.concatenate(([-1], last))))
+        return _batch(_POSTINGS, [token.view(np.int64), node, n, at, np.zeros(len(token), np.int32), node[centre], n[centre], at[centre]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
         for batch in batches:
-            for part, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for part, *row in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 if held and part != now:
-                    yield meet(held)
+                    yield meet(held, now >= 0)
                     held = []
                 now = part
                 held.append(tuple(row))
         if held:
-            yield meet(held)
+            yield meet(held, now >= 0)
 
-    dealt = packed.select("part", "tokens", "ids", "ns", "ats").repartition(fragments, "part").sortWithinPartitions("part")
-    return map_batches(dealt, run, "t long, id long, n long, pos int")
+    dealt = packed.repartition(fragments, "part").sortWithinPartitions("part")
+    return map_batches(dealt, run, "t long, node long, n long, pos int, w int, center long, n_c long, pos_c int")
 
 
 def _may_link(n1, n2, pos1, pos2):
@@ -204,36 +216,67 @@ def _pair(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _filter(wanted: DataFrame) -> bytes:
+    """A bit for each text hash that is asked for, of FILTER_BITS: its size does not grow with the data."""
+    bit = F.pmod(F.col("th"), F.lit(FILTER_BITS))
+    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
+    out = np.zeros((FILTER_BITS // 8 // 4096 + 2, 4096), np.uint8)
+    for r in maps:
+        out[r["k"]] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
 def _fragments(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, part and its n-grams, for each vertical fragment of the named sets, from one document of each."""
-    of = rows.join(nodes.hint("shuffle_hash"), "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)), "th")).alias("at"))
-    of = of.select("node", F.col("at.col1").alias("d"), F.col("at.th").alias("th"))
+    of = rows.join(nodes.hint("shuffle_hash"), "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "th")).alias("at"))
+    of = cut(of.select("node", "at.d", "at.th"), "jaccard-wanted")
+    asked = docs.sparkSession.sparkContext.broadcast(_filter(of))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z, bits = zstandard.ZstdCompressor(level=3), asked.value
         for batch in by_chars(batches, 2, CHARS_AT_ONCE):
+            bit = np.mod(batch.column(1).to_numpy(zero_copy_only=False), FILTER_BITS)
+            # as Spark's bitmap functions lay out: bucket 0 holds bit 0 alone, bucket k + 1 the k-th 32768 after it
+            bucket, place = np.where(bit > 0, 1 + (bit - 1) // 32768, 0), np.where(bit > 0, (bit - 1) % 32768, 0)
+            hit = (bits[bucket, place // 8] >> (place % 8)) & 1
+            batch = batch.filter(pa.array(hit.astype(bool)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["d", "th", "z"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
                 names, parts, lists = [], [], []
                 for node, s in zip(batch.column(0).to_pylist(), shingle_sets([z.decompress(x) for x in batch.column(1).to_pylist()])):
                     names += [node] * PARTS
                     parts += range(PARTS)
                     lists += np.split(s.view(np.int64), np.searchsorted(s, edges))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["node", "part", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["node", "part", "tokens"])
 
     packed = map_batches(_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), pack, "d long, th long, z binary")
-    wanted = packed.join(of.hint("shuffle_hash"), ["d", "th"]).select("node", "z")
-    return cut(map_batches(wanted, split, "node binary, part int, tokens array<long>").dropDuplicates(["node", "part"]), "jaccard-fragments")
+    wanted = packed.join(of.hint("shuffle_hash"), ["d", "th"]).groupBy("node").agg(F.min("z").alias("z"))
+    return cut(map_batches(wanted.select("node", "z"), split, "node long, part int, tokens array<long>"), "jaccard-fragments")
 
 
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _likely(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose counts leave room for the similarity: a bound by fragments, far smaller than the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            most = map(most_overlap, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = [DEN * k >= NUM * (a + b - k) for a, b, k in zip(n_a, n_b, (min(m, a, b) for m, a, b in zip(most, n_a, n_b)))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(counts.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
+    return map_batches(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a long, b long, n_a long, n_b long")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) whose overlap, summed over the fragments, reaches the similarity."""
+    pairs = cut(_likely(counts, pairs), "jaccard-likely")
     nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
     sets = _fragments(docs, rows, nodes)
     asked = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
@@ -282,22 +325,19 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     often = rows.where("common IS NOT NULL").select(F.explode("common").alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c"))
     frequent = [(r["t"], r["c"]) for r in often.orderBy(F.desc("c"), "t").limit(FREQUENT).collect()]
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = rows.drop("common")
+    counts = cut(rows.where("n > 0").groupBy("node").agg(F.min("counts").alias("counts")), "jaccard-counts")
+    rows = rows.drop("common", "counts")
     fragments = max(64, -(-total // (4 * POSTINGS_AT_ONCE)))
     held = spark.sparkContext.broadcast(Order(frequent))  # FREQUENT n-grams at most
-    prefixes = cut(_prefixes(docs, held, fragments), "jaccard-prefixes")
-    often = prefixes.where("part = -1").groupBy("t", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    postings = cut(_met(prefixes.where("part >= 0"), fragments).unionByName(often.select("t", "id", "n", "pos")), "jaccard-postings")
-    # which set is central: one of many copies, then one that shares many n-grams
-    named = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("copies")).withColumn("id", _short_of("node"))
-    shared = postings.groupBy("id").agg(F.count("*").alias("shared"))
-    info = named.join(shared, "id").select("id", "node", "copies", "shared")
-    postings = cut(postings.join(info, "id").select("t", "node", "n", "pos", "copies", "shared"), "jaccard-nodes")
-    central = cut(postings.groupBy("t").agg(F.max(F.struct("copies", "shared", "node", "n", "pos")).alias("p"), F.count("*").alias("k")).where("k > 1").select("t", "p"), "jaccard-central")
-    met = postings.join(central, "t").where(F.col("node") != F.col("p.node"))
-    met = met.where(_may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos")))
-    pairs = cut(_sized(met.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("p.node").alias("y"), F.col("p.n").alias("n_y"))), "jaccard-pairs")
-    links = _verified(docs, rows, pairs)
+    postings = cut(_met(_prefixes(docs, held, fragments), fragments), "jaccard-postings")
+    # a frequent n-gram's central set: the one with most frequent n-grams in its prefix, so with the fewest of its own
+    often = postings.where("center IS NULL").drop("center", "n_c", "pos_c")
+    central = often.groupBy("t").agg(F.max(F.struct("w", "node", "n", "pos")).alias("p"), F.count("*").alias("k")).where("k > 1")
+    central = cut(central.select("t", F.col("p.node").alias("center"), F.col("p.n").alias("n_c"), F.col("p.pos").alias("pos_c")), "jaccard-central")
+    stars = postings.where("center IS NOT NULL").drop("w").unionByName(often.drop("w").join(central, "t")).where("node <> center")
+    stars = stars.where(_may_link(F.col("n"), F.col("n_c"), F.col("pos"), F.col("pos_c")))
+    pairs = cut(_sized(stars.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("center").alias("y"), F.col("n_c").alias("n_y"))), "jaccard-pairs")
+    links = _verified(docs, rows, counts, pairs)
     roots = cut(components(links), "jaccard-roots")
     # what may still link: sets of different classes that share a prefix n-gram
     classed = cut(postings.join(roots, "node", "left").select("t", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "jaccard-classed")
@@ -307,12 +347,12 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     left = right.where("root_y <> main").select("t", F.col("y").alias("x"), F.col("n_y").alias("n_x"), F.col("pos_y").alias("pos_x"), F.col("root_y").alias("root_x"))
     allowed = (F.col("root_x") != F.col("root_y")) & _may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"))
     rest = _sized(left.join(right.drop("main"), "t").where(allowed)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(docs, rows, cut(rest, "jaccard-rest"))
+    more = _verified(docs, rows, counts, cut(rest, "jaccard-rest"))
     roots = cut(components(links.unionAll(more)), "jaccard-final-roots")
     placed = cut(rows.join(roots, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root")), "jaccard-placed")
     some = placed.where("n_shingles > 0")
     smallest = cut(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
-    alone = placed.where("n_shingles = 0").withColumn("root", F.lit(None).cast("binary")).withColumn("component_id", F.col("doc_id"))
+    alone = placed.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "th", "n_shingles", "root", "component_id"]
     return some.join(smallest, "root").select(*columns).unionAll(alone.select(*columns))
 
@@ -342,3 +382,22 @@ def _sized(pairs: DataFrame) -> DataFrame:
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of 0.75 or more on 5-word shingles."""
     return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT row_no, array_to_string(w[i:i + 4], ' ') AS key
+  FROM (SELECT row_no, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT row_no, count(*) AS n FROM s GROUP BY row_no),
+p AS (SELECT a.row_no AS x, b.row_no AS y, count(*) AS k FROM s a JOIN s b ON a.key = b.key AND a.row_no < b.row_no GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.row_no = x JOIN n b ON b.row_no = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT row_no, row_no AS o FROM d UNION SELECT r.row_no, e.y FROM r JOIN e ON r.o = e.x)
+SELECT a.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(b.doc_id) AS component_id
+FROM r JOIN d a USING (row_no) JOIN d b ON b.row_no = r.o LEFT JOIN n ON n.row_no = a.row_no
+GROUP BY a.row_no, a.doc_id
+"""

@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scans": secrets.ORACLE,
         "op4_decontamination": contamination.ORACLE,
+        "op5_ngram_jaccard_join": jaccard.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op9_ann": neighbours.ORACLE,
     }

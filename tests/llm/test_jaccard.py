@@ -69,3 +69,11 @@ def test_empty_table(spark):
 
 def test_prefix_length():
     assert [jaccard.prefix_length(n) for n in (0, 1, 4, 8)] == [0, 1, 2, 3]
+
+
+def test_counts_bound_the_overlap():
+    rng = random.Random(9)
+    for _ in range(300):
+        pool = [rng.getrandbits(64) for _ in range(rng.choice((3, 40, 900)))]
+        a, b = (jaccard.np.unique(jaccard.np.array(rng.sample(pool, rng.randint(1, len(pool))), jaccard.np.uint64)) for _ in range(2))
+        assert jaccard.most_overlap(jaccard._counts(a), jaccard._counts(b)) >= len(set(a.tolist()) & set(b.tolist()))
