@@ -47,9 +47,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
-    ship_code(df.sparkSession)
+    """``mapInArrow`` with this package importable in the workers, and batches small enough for long texts.
+
+    The batch size is the session's; it is lowered only where it stands at Spark's default.
+    """
+    spark = df.sparkSession
+    ship_code(spark)
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return df.mapInArrow(fn, schema)
 
 

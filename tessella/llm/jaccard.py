@@ -30,7 +30,7 @@ FREQUENT = 20_000  # n-grams that come last in the order; which ones they are ch
 SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it is counted
 POSTINGS_AT_ONCE = 1_500_000  # of rare n-grams in one fragment task
 PARTS = 8  # vertical fragments in which overlaps are counted
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 1_000_000
 FILTER_BITS = 1 << 25  # of the filter that keeps unasked documents out of a shuffle; it may let some pass
 
 
