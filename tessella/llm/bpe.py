@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import by_chars, map_batches, table, texts
 
-PIECE_CACHE = 500_000
-PAIR_CACHE = 2_000_000
-CHARS_AT_ONCE = 4_000_000
+PIECE_CACHE = 250_000
+PAIR_CACHE = 400_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
