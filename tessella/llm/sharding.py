@@ -1,22 +1,31 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters every row into memory-sized buckets by a seeded hash of its position; pass two
-shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates over the array) and deals the
-buckets' rows, end to end, round the shards. The law is ``rows``: shard counts differ by one at most.
+Pass one scatters every row, text and all, into memory-sized buckets by a seeded hash of its position;
+pass two shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates over the array) and deals
+the buckets' rows, end to end, round the shards, which are written as one folder each. The law is ``rows``: shard counts differ by one at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, table
+from tessella.llm.common import cut, shared_dir, table
 
 SHARDS = 40
 SEED = 20_011
 BUCKET_ROWS = 65_536
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 64
+#: Bytes of a row besides the columns it carries.
+ROW_BYTES = 64
+#: Shuffled texts compress badly by the default, and three copies of them are on disk at the most.
+CODEC = "zstd"
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LAW = "rows"
 
 
@@ -28,45 +37,65 @@ def bucket_count(rows: int, size: int, bucket_rows: int = BUCKET_ROWS, bucket_by
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, payload: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, size, text_crc32, the ``payload`` columns, shard and slot (gapless from 0 in each shard).
 
-    size is the text's UTF-8 bytes plus 16; null text counts as empty. Ties and repeated rows are
+    Texts go through both passes with or without ``payload``: size (the text's UTF-8 bytes plus 16) and
+    text_crc32 are those of the shuffled rows; null text counts as empty. Ties and repeated rows are
     told apart by their position in the input, so copies spread over all buckets and no key is hot.
     An empty table gives no rows; extra columns are ignored unless named in ``payload``.
-    A bucket is the only thing held in one task; its size is bounded by the two bucket limits.
+    A bucket is the only thing held in one task; its size is bounded by the two bucket limits, the
+    second by the bytes of all that its rows carry.
     """
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("_at"),
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("bigint").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        *[F.col(c).alias(f"_p_{c}") for c in payload],
-    )
-    held = ["_at", "doc_id", "size", "text_crc32", *[f"_p_{c}" for c in payload]]
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    buckets = bucket_count(n, size if payload else 64 * n, bucket_rows, bucket_bytes)
+    carried = ("text", *(c for c in payload if c != "text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_at"), "doc_id", *[F.col(c).alias(f"_p_{c}") for c in carried])
+    held = rows.columns
+    bytes_of = sum((F.coalesce(F.octet_length(F.col(f"_p_{c}").cast("string")), F.lit(0)).cast("bigint") for c in carried), F.lit(ROW_BYTES))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    buckets = bucket_count(n, size, bucket_rows, bucket_bytes)
     scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("_at")), F.lit(buckets)).cast("int"))
     dealt = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("rows"))
-    shuffled = cut(dealt.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"), F.size("rows").cast("bigint").alias("n")), "shard-buckets")
-    starts = shuffled.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
-    placed = shuffled.select("bucket", "rows").join(starts, "bucket").select("start", F.posexplode("rows").alias("pos", "row"))
+    shuffled = dealt.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
+    with _shuffles_freed(docs.sparkSession):
+        placed = cut(shuffled.select("bucket", F.posexplode("rows").alias("pos", "row")).select("bucket", "pos", "row.*").drop("_at"), "shard-buckets", compression=CODEC)
+    counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
     at = F.col("start") + F.col("pos")
-    return placed.select(
-        "row.doc_id",
-        "row.size",
-        "row.text_crc32",
-        *[F.col(f"row._p_{c}").alias(c) for c in payload],
+    return placed.join(F.broadcast(starts), "bucket").select(
+        "doc_id",
+        *_digests(F.col("_p_text")),
+        *[F.col(f"_p_{c}").alias(c) for c in payload],
         F.pmod(at, F.lit(shards)).cast("int").alias("shard"),
         F.floor(at / shards).cast("bigint").alias("slot"),
     )
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """While it holds, the shuffle files of a written table go once it is written, not with the driver's garbage."""
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
+def _digests(text: Column) -> list[Column]:
+    body = F.coalesce(text, F.lit(""))
+    return [(F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")]
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Writes whole documents, one folder for each shard, in slot order."""
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot"))
     placed = shuffle_into_shards(docs, shards, seed, payload=extra)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    with _shuffles_freed(docs.sparkSession):
+        placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression=CODEC)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its shard and slot, under the law ``rows``."""
-    placed = shuffle_into_shards(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Every document with its shard and slot, under the law ``rows``, as the written shards have them."""
+    docs = table(spark, sf_dir, "documents")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path)
+    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text"))
+    written = spark.read.schema(f"{kept}, slot bigint, shard int").parquet(path)
+    return written.select("doc_id", *_digests(F.col("text")), F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -173,6 +174,28 @@ def test_sharding_writes_whole_rows(spark, tmp_path):
     assert sorted(r["text"] for r in back.collect()) == sorted(map(str, range(90)))
 
 
+def test_sharding_counts_buckets_by_the_texts_bytes(spark, monkeypatch):
+    asked = []
+    count = sharding.bucket_count
+    monkeypatch.setattr(sharding, "bucket_count", lambda n, size, *a: asked.append((n, size)) or count(n, size, *a))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), 5000).alias("text"))
+    assert sharding.shuffle_into_shards(docs, 4).count() == 20
+    assert asked[0][0] == 20 and asked[0][1] >= 20 * 10_000
+
+
+def test_op6_reads_back_the_shards_it_wrote(spark, tmp_path, monkeypatch):
+    texts = [None, "", "é", *(f"text {k} " * k for k in range(1, 200))]
+    spark.createDataFrame([(k // 2, t, "x") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "in/documents.parquet"))
+    monkeypatch.setattr(sharding, "shared_dir", lambda s: str(tmp_path / "shared"))
+    got = sharding.op6_sharding(spark, str(tmp_path / "in")).collect()
+    whole = spark.read.parquet(str(tmp_path / "shared/shards-*")).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in whole) == Counter((k // 2, t, "x") for k, t in enumerate(texts))
+    digests = lambda t: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()))
+    placed = sorted((r["shard"], r["slot"], r["doc_id"], *digests(r["text"])) for r in whole)
+    assert sorted((r["shard"], r["slot"], r["doc_id"], r["size"], r["text_crc32"]) for r in got) == placed
+    assert sorted(r[:2] for r in placed) == [(s, k) for s in range(40) for k in range(len(texts) // 40 + (s < len(texts) % 40))]
+
+
 def labelled(n, seed=5):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("tha", "ne", "ri", "os", "um", "el")) for _ in range(rng.randint(1, 4)))
