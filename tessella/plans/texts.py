@@ -132,9 +132,8 @@ def word_split_candidates(spark: SparkSession, base: str) -> DataFrame:
 
 
 def detokenise(spark: SparkSession, base: str) -> DataFrame:
-    """The first forty tokens of each document, joined back into a sentence."""
-    words = F.slice(text.tokens(F.col("text")), 1, 40)
-    return _docs(spark, base).select("doc_id", detokenised(words).alias("sentence"))
+    """All tokens of each document, joined back into a sentence."""
+    return _docs(spark, base).select("doc_id", detokenised(text.tokens(F.col("text"))).alias("sentence"))
 
 
 def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:
