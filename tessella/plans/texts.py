@@ -137,8 +137,8 @@ def detokenise(spark: SparkSession, base: str) -> DataFrame:
 
 
 def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Generated numbers with their prefix and format; 2,000 of them."""
-    return generate.numeric_pairs(spark, 2_000).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
+    """Generated numbers with their prefix and format; 200,000 of them, as many as the reference makes."""
+    return generate.numeric_pairs(spark, 200_000).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
 
 
 def translate_fallback(spark: SparkSession, base: str) -> DataFrame:
