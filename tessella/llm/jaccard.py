@@ -314,6 +314,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, root (name of the class) and component_id of every row.
 
     component_id is the smallest doc_id that links reach; root is null where there are no n-grams.
+    Links inside a class are not counted: pairs of sets that are in one class already are not compared,
+    so there is no number of links and no list of linked pairs.
 
     Null and empty texts, and those of white space only, have no n-grams and link with nothing: their
     class is their own id. Repeated rows and equal sets are one class. Rows with a null id get the
