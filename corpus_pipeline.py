@@ -53,7 +53,8 @@ STAGES = [
     ("bpe", as_tokens),
 ]
 
-#: The classifier is trained, so no SQL gives the rows; tests/llm/test_pipeline.py has a plain version.
+#: The classifier is trained, so no SQL gives the rows. No plain version exists either: the tests check
+#: properties of the stages, not the rows of ``run``.
 ORACLE_SQL = None
 
 
