@@ -127,7 +127,7 @@ def runs(batch_texts: list[bytes], least: int, gram: int) -> Iterator[tuple[np.n
 class SuffixArray:
     """Suffixes of several byte strings, sorted, with the common-prefix lengths of neighbours.
 
-    Sorting is by prefix doubling, and stops once prefixes of ``least`` bytes are told apart.
+    Sorting is by prefix doubling until all suffixes are told apart, however long their common prefixes.
     Every string ends in a symbol of its own, so no common prefix runs past an end.
     """
 
@@ -141,36 +141,43 @@ class SuffixArray:
         self.symbols[self.starts[1:] - 1] = 256 + np.arange(len(strings), dtype=np.uint64)
         self.symbols[n:] = 0
         s = self.symbols
-        key = (s[:n] << np.uint64(48)) | (s[1 : n + 1] << np.uint64(32)) | (s[2 : n + 2] << np.uint64(16)) | s[3 : n + 3]
-        ranks, k = [], 4
+        bits = np.uint64(max(16, (256 + len(strings)).bit_length()))
+        k = min(4, 64 // int(bits))
+        key = s[:n]
+        for j in range(1, k):
+            key = (key << bits) | s[j : n + j]
+        ranks: list[tuple[int, np.ndarray]] = []
         while True:
             order = np.argsort(key, kind="stable")
-            new = np.empty(n, np.int64)
-            new[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
-            ranks.append((k, new))
-            if k >= least or new[order[-1]] == n - 1:
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.concatenate(([False], key[order][1:] != key[order][:-1])))
+            if rank[order[-1]] == n - 1:
                 break
-            after = np.zeros(n, np.int64)
-            after[: n - k] = new[k:] + 1
-            key = new * (n + 2) + after
+            ranks.append((k, rank))
+            key = rank.astype(np.int64) * (n + 2)
+            key[: n - k] += rank[k:] + 1
             k *= 2
         self.order = order
-        self.common = self._common(ranks, n, least)
+        self.common = self._common(ranks, n, least, k)
 
-    def _common(self, ranks: list[tuple[int, np.ndarray]], n: int, least: int) -> np.ndarray:
-        """Common prefix of each suffix with the one before it in order; 0 where shorter than ``least``."""
+    def _common(self, ranks: list[tuple[int, np.ndarray]], n: int, least: int, told_apart: int) -> np.ndarray:
+        """Common prefix of each suffix with the one before it in order; 0 where shorter than ``least``.
+
+        No two suffixes share ``told_apart`` symbols, so each halved step is taken at most once.
+        """
         out = np.zeros(n, np.int64)
-        half, rank = next(((k, r) for k, r in reversed(ranks) if k <= least), ranks[0])
-        at = np.flatnonzero(rank[self.order[1:]] == rank[self.order[:-1]]) + 1
+        at = np.arange(1, n)
+        for k, rank in reversed(ranks):  # only neighbours that share enough are worth measuring
+            if k <= least:
+                at = np.flatnonzero(rank[self.order[1:]] == rank[self.order[:-1]]) + 1
+                break
         a, b = self.order[at], self.order[at - 1]
         length = np.zeros(len(at), np.int64)
-        pad = np.arange(1, 3)
-        steps = [(k, r) for k, r in reversed(ranks) if k <= half]
-        for k, r in [steps[0], steps[0], *steps] if steps else []:
-            more = np.flatnonzero((a + length + k <= n) & (b + length + k <= n))
-            same = r[a[more] + length[more]] == r[b[more] + length[more]]
+        for k, rank in reversed(ranks):
+            more = np.flatnonzero((a + length < n) & (b + length < n))
+            same = rank[a[more] + length[more]] == rank[b[more] + length[more]]
             length[more[same]] += k
-        for _ in range(len(pad) + 2):
+        for _ in range(min(told_apart, ranks[0][0] if ranks else told_apart) - 1):
             more = np.flatnonzero((a + length < n) & (b + length < n))
             same = self.symbols[a[more] + length[more]] == self.symbols[b[more] + length[more]]
             length[more[same]] += 1

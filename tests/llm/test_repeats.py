@@ -53,3 +53,48 @@ def test_empty_table_and_repeated_rows(spark):
     assert repeats.remove_repeats(none, 20).count() == 0
     twice = spark.createDataFrame([(None, "a long enough text, said twice"), (None, "a long enough text, said twice"), (3, "other")], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in repeats.remove_repeats(twice, 20).collect()) == [0, 30, 30]
+
+
+def several_shared(seed, n=40):
+    """Documents whose repeats of 400 to 1,300 bytes nest in each other's: two share more than a third does."""
+    rng = random.Random(seed)
+    raw = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    out = []
+    for _ in range(n):
+        core, left, right = raw(rng.randint(380, 640)), raw(300), raw(400)
+        a, b = rng.randint(0, 300), rng.randint(0, 400)
+        out.append(raw(rng.randint(0, 300)) + left[a:] + core + right[:b] + raw(rng.randint(0, 90)))
+        out.append(raw(rng.randint(0, 300)) + left[rng.randint(0, 300) :] + core + right[: rng.randint(0, 400)] + raw(50))
+        out.append(raw(rng.randint(0, 300)) + left[rng.randint(a, 300) :] + core + right[: rng.randint(0, b)] + raw(50))
+    rng.shuffle(out)
+    return out
+
+
+def test_long_nested_repeats_with_the_production_sizes(spark):
+    texts = several_shared(11)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in repeats.remove_repeats(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute(texts, repeats.LEAST)
+
+
+def test_a_third_string_does_not_shorten_what_two_share():
+    rng = random.Random(3)
+    raw = lambda k: bytes(rng.choice(b"abcdefgh") for _ in range(k))
+    u, v = raw(520), raw(80)
+    strings = [raw(11) + u + v + b"x", raw(11) + u + raw(30), raw(11) + u + v + b"y"]
+    for order in ((0, 1, 2), (1, 0, 2), (2, 0, 1)):
+        got = repeats.covered([strings[k] for k in order], [1, 1, 1], 400)
+        assert [got[order.index(k)] for k in range(3)] == [[(11, 611)], [(11, 531)], [(11, 611)]]
+
+
+def test_common_prefixes_equal_plain_ones():
+    rng = random.Random(4)
+    for _ in range(30):
+        strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 9))] + [b"a" * 40] * rng.randint(0, 3)
+        sa = repeats.SuffixArray(strings, 3)
+        whole = [(k, p) for k, s in enumerate(strings) for p in range(len(s) + 1)]
+        suffix = [(*strings[k][p:], 256 + k) for k, p in whole]
+        assert [suffix[i] for i in sa.order] == sorted(suffix)
+        for x, y, n in zip(sa.order, sa.order[1:], sa.common[1:]):
+            true = next(j for j, (c, d) in enumerate(zip(suffix[x], suffix[y])) if c != d)
+            assert n == (true if true >= 3 else 0)
