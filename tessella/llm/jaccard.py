@@ -1,13 +1,14 @@
 """Exact Jaccard join on word n-grams by vertical partitioning, down to connected classes.
 
-All n-grams have one global order: by hash, the most frequent ones last, by their counts. A document's
-set in this order gives its prefix (documents that link share an n-gram of their prefixes, at places
-that leave room for enough overlap) and is cut into vertical fragments at fixed places of the order.
-Candidate pairs come from the prefix n-grams: rare ones meet in fragments of bounded size, frequent
-ones in ordinary joins that can be split. For each candidate pair the overlaps of each fragment are
-counted on their own and summed. Equal sets are folded first; of a group that shares an n-gram each
-set first meets the group's most central one only, and then sets of different classes meet, so a group
-of near copies costs no square and yet no link between classes is lost.
+All n-grams have one global order, the least frequent first, and are cut into vertical fragments by
+their hashes. Each fragment counts in how many sets each of its n-grams occurs and drops those that one
+set alone holds: they come first in the order and no pair shares them. What is left of each set is put
+together again; a set with too few shared n-grams links with nothing. The others' prefixes (sets that
+link share an n-gram of their prefixes, at places that leave room for enough overlap) give candidate
+pairs, and the overlaps of each pair are counted fragment by fragment and summed. Equal sets are folded
+first; of a group that shares an n-gram each set first meets the group's most central one only, and then
+sets of different classes meet, so a group of near copies costs no square and yet no link between
+classes is lost.
 """
 
 from __future__ import annotations
@@ -17,21 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import by_chars, cut, map_batches, table
+from tessella.llm.common import by_chars, cut, map_batches, shuffles_freed, table, unused
 from tessella.llm.repeats import Hashes
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # the least similarity, as a fraction
-FREQUENT = 20_000  # n-grams that come last in the order; which ones they are changes no result
-SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it is counted
-POSTINGS_AT_ONCE = 1_500_000  # of rare n-grams in one fragment task
+FREQUENT = 20_000  # n-grams dealt by set instead of by n-gram, as one task could not hold their sets; they change no result
+SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it may be one of them
+POSTINGS_AT_ONCE = 1_500_000  # n-grams of sets in one fragment
+LEAST_FRAGMENTS = 64
 PARTS = 8  # vertical fragments in which overlaps are counted
 CHARS_AT_ONCE = 1_000_000
-FILTER_BITS = 1 << 25  # of the filter that keeps unasked documents out of a shuffle; it may let some pass
+NAMES_AT_ONCE = 200_000  # sets that a task remembers, so as not to send copies twice
+_OFTEN = 1 << 30  # frequencies from here on are places among the frequent n-grams
 
 
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
@@ -60,26 +62,13 @@ def _name(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _counts(tokens: np.ndarray) -> bytes:
-    """How many n-grams lie in each of equal stretches of the hashes, about three a stretch; 255 stands for more."""
-    bits = min(max(max(len(tokens) // 3, 1).bit_length(), 6), 13)
-    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-
-
-def most_overlap(a: bytes, b: bytes) -> int:
-    """No fewer than the n-grams that two sets share, from their counts: a stretch holds no more than the smaller count."""
-    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in sorted((a, b), key=len))
-    x[x == 255], y[y == 255] = 1 << 30, 1 << 30
-    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n, node (the set's name), counts and, on one row of each batch, its often-seen n-grams."""
+    """doc_id, th (hash of the text), n, node (the set's name) and, on one row of each batch, its often-seen n-grams."""
     kind = pa.list_(pa.struct([("t", pa.int64()), ("c", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,118 +80,179 @@ def _sets(docs: DataFrame) -> DataFrame:
             often = counts >= SEEN_OFTEN
             common = [[{"t": t, "c": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist())], *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_name, sets)), pa.int64()), pa.array(list(map(_counts, sets)), pa.binary()), pa.array(common, kind)],
-                ["doc_id", "th", "n", "node", "counts", "common"],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(_name, sets)), pa.int64()), pa.array(common, kind)],
+                ["doc_id", "th", "n", "node", "common"],
             )
 
-    return map_batches(_texts(docs), run, "doc_id long, th long, n long, node long, counts binary, common array<struct<t:long,c:long>>")
+    return map_batches(_texts(docs), run, "doc_id long, th long, n long, node long, common array<struct<t:long,c:long>>")
 
 
-class Order:
-    """The global order: rare n-grams by hash, then the frequent ones from the least frequent on."""
+class Frequent:
+    """The n-grams that come last in the order, by their counts."""
 
-    def __init__(self, frequent: list[tuple[int, int]]):
-        tokens = np.array([t for t, _ in frequent], np.int64).view(np.uint64)
-        counts = np.array([c for _, c in frequent], np.int64)
+    def __init__(self, found: list[tuple[int, int]]):
+        tokens = np.array([t for t, _ in found], np.int64).view(np.uint64)
+        counts = np.array([c for _, c in found], np.int64)
         by_hash = np.argsort(tokens)
         self.tokens = tokens[by_hash]
         place = np.empty(len(tokens), np.int64)
         place[np.lexsort((tokens, counts))] = np.arange(len(tokens))
-        self.place = place[by_hash]
+        self.place = place[by_hash] + _OFTEN
 
-    def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """The prefix in the global order, and how many of it are rare."""
-        p = prefix_length(len(tokens))
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Each n-gram's place, 0 if it is not among them."""
         if not len(self.tokens):
-            return tokens[:p], p
+            return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        often = self.tokens[at] == tokens
-        rare = tokens[~often]
-        if len(rare) >= p:
-            return rare[:p], p
-        last = tokens[often][np.argsort(self.place[at[often]])]
-        return np.concatenate([rare, last])[:p], len(rare)
+        return np.where(self.tokens[at] == tokens, self.place[at], 0)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of fixed-width numbers, first all the lowest bytes and so on: small numbers leave zeros that compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
 
+def _dealt(x: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each 64-bit hash, rising with it."""
+    return ((x.view(np.uint64) >> np.uint64(33)).astype(np.int64) * parts) >> 31
 
-_POSTINGS = [("t", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("pos", pa.int32()), ("w", pa.int32()), ("center", pa.int64()), ("n_c", pa.int64()), ("pos_c", pa.int32())]
+
+def _batch(fields: list, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
+
+
+_PACKED = [("part", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "owners", "names", "sizes")]]
 
 
-def _prefixes(docs: DataFrame, order, fragments: int) -> DataFrame:
-    """Prefix n-grams, packed: a row for each batch and fragment, of rare n-grams (parts from 0 on) and, dealt
-    by hash to as many parts (numbered from -1 down), of frequent ones."""
+def _postings(docs: DataFrame, frequent, fragments: int) -> DataFrame:
+    """All n-grams of all sets, packed: a row for each batch and fragment. Frequent ones are dealt by n-gram and
+    set to as many parts, numbered from -1 down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Order = order.value
-        fields = [("part", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "nodes", "ns", "ats", "ws")]]
+        own: Frequent = frequent.value
+        seen: set[int] = set()
         for batch in by_chars(batches, 2, CHARS_AT_ONCE):
-            seen: set[int] = set()
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
-            rare = []
+            names, sets = [], []
             for s in shingle_sets([t.encode() for t in batch.column(2).to_pylist()]):
                 node = _name(s)
-                if not len(s) or node in seen:
-                    continue
-                seen.add(node)
-                first, n_rare = own.prefix(s)
-                k = len(first)
-                for column, x in zip(columns, (first, np.full(k, node, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, k - n_rare, np.int32))):
-                    column.append(x)
-                rare.append(np.arange(k) < n_rare)
-            if not rare:
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    names.append(node)
+                    sets.append(s)
+            if len(seen) > NAMES_AT_ONCE:
+                seen.clear()
+            if not names:
                 continue
-            values, is_rare = [np.concatenate(c) for c in columns], np.concatenate(rare)
-            part = ((values[0] >> np.uint64(33)).astype(np.int64) * fragments) >> 31
-            mixed = (values[0] ^ values[1].view(np.uint64)) >> np.uint64(33)
-            part = np.where(is_rare, part, -1 - ((mixed.astype(np.int64) * fragments) >> 31))
-            by_part = np.argsort(part, kind="stable")
-            names, starts = np.unique(part[by_part], return_index=True)
-            packed = np.split(by_part, starts[1:])
-            yield _batch(fields, [names.astype(np.int32), *[[v[x].tobytes() for x in packed] for v in values]])
+            node, size = np.array(names, np.int64), np.array(list(map(len, sets)), np.uint32)
+            token, owner = np.concatenate(sets), np.repeat(np.arange(len(names), dtype=np.uint32), size)
+            part = np.where(own.of(token) > 0, -1 - _dealt(_mixed(token, node[owner]), fragments), _dealt(token, fragments))
+            order = np.lexsort((token, part))
+            token, owner, part = token[order], owner[order], part[order]
+            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            rows: list[list] = [part[starts].astype(np.int32).tolist(), [], [], [], []]
+            for a, b in zip(starts, [*starts[1:], len(part)]):
+                used, at = np.unique(owner[a:b], return_inverse=True)
+                steps = np.diff(token[a:b], prepend=np.uint64(0))
+                for column, x in zip(rows[1:], (steps, at.astype(np.uint32), node[used], size[used])):
+                    column.append(_planes(x))
+            yield _batch(_PACKED, rows)
+
+    return map_batches(_texts(docs), run, "part int, tokens binary, owners binary, names binary, sizes binary")
+
+
+def _mixed(token: np.ndarray, node: np.ndarray) -> np.ndarray:
+    h = (token ^ node.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each value of the first column, which comes in order; one value's rows are held."""
+    held, now = [], None
+    for batch in batches:
+        for part, *row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if held and part != now:
+                yield now, held
+                held = []
+            now = part
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def _shared(packed: DataFrame, frequent, fragments: int) -> DataFrame:
+    """The n-grams that several sets hold, with their frequencies, packed by sets: a row for each fragment and bucket of sets."""
+    fields = [("bucket", pa.int32()), *[(c, pa.binary()) for c in ("tokens", "nodes", "sizes", "often")]]
 
-    return map_batches(_texts(docs), run, "part int, tokens binary, nodes binary, ns binary, ats binary, ws binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            token = np.concatenate([np.cumsum(_unplanes(r[0], "<u8"), dtype=np.uint64) for r in rows])
+            owners = [_unplanes(r[1], "<u4") for r in rows]
+            node = np.concatenate([_unplanes(r[2], "<i8")[o] for r, o in zip(rows, owners)])
+            size = np.concatenate([_unplanes(r[3], "<u4")[o] for r, o in zip(rows, owners)])
+            del owners
+            order = np.lexsort((node, token))
+            token, node, size = token[order], node[order], size[order]
+            once = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies from elsewhere go
+            token, node, size = token[once], node[once], size[once]
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            width = np.diff(np.concatenate((starts, [len(token)])))
+            often = np.repeat(np.minimum(width, _OFTEN - 1), width) if part >= 0 else frequent.value.of(token)
+            kept = np.flatnonzero(often > 1)
+            if not len(kept):
+                continue
+            bucket = _dealt(node[kept], fragments)
+            order = np.argsort(bucket, kind="stable")
+            kept, bucket = kept[order], bucket[order]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            parts = np.split(kept, starts[1:])
+            yield _batch(fields, [bucket[starts].astype(np.int32), *[[_planes(x[k]) for k in parts] for x in (token, node, size, often.astype(np.uint32))]])
 
+    dealt = packed.repartition(fragments, "part").sortWithinPartitions("part")
+    return map_batches(dealt, run, "bucket int, tokens binary, nodes binary, sizes binary, often binary")
 
-def _batch(fields: list, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
 
+_KEPT = "node long, n long, central double, prefix array<struct<t:long,pos:int>>, parts array<array<long>>"
 
-def _met(packed: DataFrame, fragments: int) -> DataFrame:
-    """Postings of n-grams. A fragment of rare ones sorts its own, drops those that one set alone holds and
-    names a central set for each: the one that shares most here. Frequent ones pass (no centre yet)."""
-
-    def meet(rows: list[tuple[bytes, ...]], rare: bool) -> pa.RecordBatch:
-        token, node, n, at, w = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in enumerate(("<u8", "<i8", "<i4", "<i4", "<i4")))
-        order = np.lexsort((node, token))
-        token, node, n, at, w = token[order], node[order], n[order], at[order], w[order]
-        first = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))[: len(token)]  # copies in other batches
-        token, node, n, at, w = token[first], node[first], n[first], at[first], w[first]
-        none = [None] * len(token)
-        if not rare or not len(token):
-            return _batch(_POSTINGS, [token.view(np.int64), node, n.astype(np.int64), at, w, none, none, none])
-        same = token[1:] == token[:-1]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, node, n, at = token[shared], node[shared], n[shared].astype(np.int64), at[shared]
-        _, who, count = np.unique(node, return_inverse=True, return_counts=True)
-        order = np.lexsort((node, count[who], token))
-        token, node, n, at = token[order], node[order], n[order], at[order]
-        last = np.flatnonzero(np.concatenate((token[1:] != token[:-1], [True]))) if len(token) else np.empty(0, np.int64)
-        centre = np.repeat(last, np.diff(np.concatenate(([-1], last))))
-        return _batch(_POSTINGS, [token.view(np.int64), node, n, at, np.zeros(len(token), np.int32), node[centre], n[centre], at[centre]])
+
+def _candidates(shared: DataFrame, fragments: int) -> DataFrame:
+    """A row for each set with shared n-grams enough to link: its size, how often its n-grams occur on average (as a
+    logarithm), the shared ones in its prefix with their places in the order, and all shared ones by vertical fragment."""
+    fields = [("node", pa.int64()), ("n", pa.int64()), ("central", pa.float64()), ("prefix", pa.list_(pa.struct([("t", pa.int64()), ("pos", pa.int32())]))), ("parts", pa.list_(pa.list_(pa.int64())))]
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
-        for batch in batches:
-            for part, *row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if held and part != now:
-                    yield meet(held, now >= 0)
-                    held = []
-                now = part
-                held.append(tuple(row))
-        if held:
-            yield meet(held, now >= 0)
+        for _, rows in _grouped(batches):
+            token, node, size, often = (np.concatenate([_unplanes(r[k], kind) for r in rows]) for k, kind in enumerate(("<u8", "<i8", "<u4", "<u4")))
+            order = np.lexsort((token, often, node))
+            token, node, size, often = token[order], node[order], size[order].astype(np.int64), often[order]
+            starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            ends = np.concatenate((starts[1:], [len(node)]))
+            enough = DEN * (ends - starts) >= NUM * size[starts]
+            out: list[list] = [[], [], [], [], []]
+            for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
+                n = int(size[a])
+                alone = n - (b - a)  # n-grams that no other set has: first in the order
+                first = token[a : a + max(prefix_length(n) - alone, 0)].view(np.int64).tolist()
+                if not first:
+                    continue
+                own = np.sort(token[a:b])
+                lists = np.split(own.view(np.int64), np.searchsorted(own, edges))
+                row = (int(node[a]), n, float(np.log2(often[a:b].astype(np.float64)).sum() / n), [{"t": t, "pos": alone + k} for k, t in enumerate(first)], lists)
+                for column, x in zip(out, row):
+                    column.append(x)
+                if len(out[0]) >= 500:
+                    yield _batch(fields, out)
+                    out = [[], [], [], [], []]
+            if out[0]:
+                yield _batch(fields, out)
 
-    dealt = packed.repartition(fragments, "part").sortWithinPartitions("part")
-    return map_batches(dealt, run, "t long, node long, n long, pos int, w int, center long, n_c long, pos_c int")
+    dealt = shared.repartition(fragments, "bucket").sortWithinPartitions("bucket")
+    return map_batches(dealt, run, _KEPT)
 
 
 def _may_link(n1, n2, pos1, pos2):
@@ -216,82 +266,22 @@ def _pair(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _filter(wanted: DataFrame) -> bytes:
-    """A bit for each text hash that is asked for, of FILTER_BITS: its size does not grow with the data."""
-    bit = F.pmod(F.col("th"), F.lit(FILTER_BITS))
-    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("m")).collect()
-    out = np.zeros((FILTER_BITS // 8 // 4096 + 2, 4096), np.uint8)
-    for r in maps:
-        out[r["k"]] = np.frombuffer(r["m"], np.uint8)
-    return out
-
-
-def _fragments(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, part and its n-grams, for each vertical fragment of the named sets, from one document of each."""
-    of = rows.join(nodes.hint("shuffle_hash"), "node").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "th")).alias("at"))
-    of = cut(of.select("node", "at.d", "at.th"), "jaccard-wanted")
-    asked = docs.sparkSession.sparkContext.broadcast(_filter(of))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, bits = zstandard.ZstdCompressor(level=3), asked.value
-        for batch in by_chars(batches, 2, CHARS_AT_ONCE):
-            bit = np.mod(batch.column(1).to_numpy(zero_copy_only=False), FILTER_BITS)
-            # as Spark's bitmap functions lay out: bucket 0 holds bit 0 alone, bucket k + 1 the k-th 32768 after it
-            bucket, place = np.where(bit > 0, 1 + (bit - 1) // 32768, 0), np.where(bit > 0, (bit - 1) % 32768, 0)
-            hit = (bits[bucket, place // 8] >> (place % 8)) & 1
-            batch = batch.filter(pa.array(hit.astype(bool)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())], ["d", "th", "z"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                names, parts, lists = [], [], []
-                for node, s in zip(batch.column(0).to_pylist(), shingle_sets([z.decompress(x) for x in batch.column(1).to_pylist()])):
-                    names += [node] * PARTS
-                    parts += range(PARTS)
-                    lists += np.split(s.view(np.int64), np.searchsorted(s, edges))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(parts, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["node", "part", "tokens"])
-
-    packed = map_batches(_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))), pack, "d long, th long, z binary")
-    wanted = packed.join(of.hint("shuffle_hash"), ["d", "th"]).groupBy("node").agg(F.min("z").alias("z"))
-    return cut(map_batches(wanted.select("node", "z"), split, "node long, part int, tokens array<long>"), "jaccard-fragments")
-
-
-def _likely(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose counts leave room for the similarity: a bound by fragments, far smaller than the sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            most = map(most_overlap, batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            keep = [DEN * k >= NUM * (a + b - k) for a, b, k in zip(n_a, n_b, (min(m, a, b) for m, a, b in zip(most, n_a, n_b)))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "n_a", "n_b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(counts.select(F.col("node").alias("a"), F.col("counts").alias("x")), "a").join(counts.select(F.col("node").alias("b"), F.col("counts").alias("y")), "b")
-    return map_batches(both.select("a", "b", "n_a", "n_b", "x", "y"), run, "a long, b long, n_a long, n_b long")
-
-
-def _verified(docs: DataFrame, rows: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b, n_a, n_b) whose overlap, summed over the fragments, reaches the similarity."""
-    pairs = cut(_likely(counts, pairs), "jaccard-likely")
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
-    sets = _fragments(docs, rows, nodes)
+    lists = sets.select("node", F.posexplode("parts").alias("part", "tokens"))
     asked = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
-    left = sets.select(F.col("node").alias("a"), "part", F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), "part", F.col("tokens").alias("y"))
+    left = lists.select(F.col("node").alias("a"), "part", F.col("tokens").alias("x"))
+    right = lists.select(F.col("node").alias("b"), "part", F.col("tokens").alias("y"))
     partial = asked.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("k"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
     return cut(total.where(DEN * F.col("k") >= NUM * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b"), "jaccard-links")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node that has a link, by alternating star contractions."""
     edges = links.select(*_pair(F.col("a"), F.col("b"))).where("a <> b").distinct()
     before = None
-    for _ in range(most_rounds):
+    while True:
         edges = cut(edges, "star-edges")
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
@@ -305,8 +295,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = cut(edges.groupBy("b").agg(F.min("a").alias("m")), "star-low")
         moved = edges.join(low, "b").select(F.col("m").alias("x"), "a", "b")
         edges = moved.select(F.col("x").alias("a"), F.col("a").alias("b")).unionAll(low.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
-    else:
-        raise RuntimeError("the star contractions did not settle")
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
@@ -325,51 +313,54 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = cut(_sets(docs), "jaccard-sets")
     often = rows.where("common IS NOT NULL").select(F.explode("common").alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c"))
-    frequent = [(r["t"], r["c"]) for r in often.orderBy(F.desc("c"), "t").limit(FREQUENT).collect()]
+    found = [(r["t"], r["c"]) for r in often.orderBy(F.desc("c"), "t").limit(FREQUENT).collect()]
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = cut(rows.where("n > 0").groupBy("node").agg(F.min("counts").alias("counts")), "jaccard-counts")
-    rows = rows.drop("common", "counts")
-    fragments = max(64, -(-total // (4 * POSTINGS_AT_ONCE)))
-    held = spark.sparkContext.broadcast(Order(frequent))  # FREQUENT n-grams at most
-    postings = cut(_met(_prefixes(docs, held, fragments), fragments), "jaccard-postings")
-    # a frequent n-gram's central set: the one with most frequent n-grams in its prefix, so with the fewest of its own
-    often = postings.where("center IS NULL").drop("center", "n_c", "pos_c")
-    central = often.groupBy("t").agg(F.max(F.struct("w", "node", "n", "pos")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    central = cut(central.select("t", F.col("p.node").alias("center"), F.col("p.n").alias("n_c"), F.col("p.pos").alias("pos_c")), "jaccard-central")
-    stars = postings.where("center IS NOT NULL").drop("w").unionByName(often.drop("w").join(central, "t")).where("node <> center")
+    rows = rows.drop("common")
+    fragments = max(LEAST_FRAGMENTS, -(-total // POSTINGS_AT_ONCE))
+    frequent = spark.sparkContext.broadcast(Frequent(found))  # FREQUENT n-grams at most
+    with shuffles_freed(spark):
+        shared = _shared(_postings(docs, frequent, fragments), frequent, fragments)
+        sets = cut(_candidates(shared, fragments), "jaccard-candidates")
+    postings = sets.select("node", "n", "central", F.explode("prefix").alias("p")).select("node", "n", "central", "p.t", "p.pos")
+    # each set meets the most central one of every n-gram in its prefix
+    middle = postings.groupBy("t").agg(F.max(F.struct("central", "node", "n", "pos")).alias("c"), F.count("*").alias("k")).where("k > 1")
+    middle = middle.select("t", F.col("c.node").alias("center"), F.col("c.n").alias("n_c"), F.col("c.pos").alias("pos_c"))
+    stars = postings.drop("central").join(middle, "t").where(F.col("node") != F.col("center"))
     stars = stars.where(_may_link(F.col("n"), F.col("n_c"), F.col("pos"), F.col("pos_c")))
     pairs = cut(_sized(stars.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("center").alias("y"), F.col("n_c").alias("n_y"))), "jaccard-pairs")
-    links = _verified(docs, rows, counts, pairs)
+    links = _verified(sets, pairs)
     roots = cut(components(links), "jaccard-roots")
     # what may still link: sets of different classes that share a prefix n-gram
-    classed = cut(postings.join(roots, "node", "left").select("t", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "jaccard-classed")
+    classed = cut(postings.drop("central").join(roots, "node", "left").select("t", "node", "n", "pos", F.coalesce("root", "node").alias("root")), "jaccard-classed")
     by_class = classed.groupBy("t", "root").agg(F.count("*").alias("k")).groupBy("t").agg(F.count("*").alias("classes"), F.max(F.struct("k", "root")).alias("main"))
     mixed = cut(by_class.where("classes > 1").select("t", F.col("main.root").alias("main")), "jaccard-mixed")
     right = cut(classed.join(mixed, "t").select("t", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("pos").alias("pos_y"), F.col("root").alias("root_y"), "main"), "jaccard-right")
     left = right.where("root_y <> main").select("t", F.col("y").alias("x"), F.col("n_y").alias("n_x"), F.col("pos_y").alias("pos_x"), F.col("root_y").alias("root_x"))
     allowed = (F.col("root_x") != F.col("root_y")) & _may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"))
     rest = _sized(left.join(right.drop("main"), "t").where(allowed)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(docs, rows, counts, cut(rest, "jaccard-rest"))
+    more = _verified(sets, cut(rest, "jaccard-rest"))
     roots = cut(components(links.unionAll(more)), "jaccard-final-roots")
-    placed = cut(rows.join(roots, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root")), "jaccard-placed")
-    some = placed.where("n_shingles > 0")
-    smallest = cut(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
-    alone = placed.where("n_shingles = 0").withColumn("root", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id"))
+    some = rows.where("n > 0")
+    placed = cut(some.join(roots, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root")), "jaccard-placed")
+    smallest = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
+    alone = rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     columns = ["doc_id", "th", "n_shingles", "root", "component_id"]
-    return some.join(smallest, "root").select(*columns).unionAll(alone.select(*columns))
+    return placed.join(smallest, "root").select(*columns).unionAll(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) less all but one of each class: that of the smallest id, ids before null.
 
-    Of repeated rows one stays; rows without n-grams are in no class and all stay.
+    Of repeated rows one stays; rows without n-grams are in no class and all stay. Columns of any name are
+    kept as they are.
     """
+    d, th = unused(docs, "id"), unused(docs, "hash")
     classes = jaccard_classes(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    kept = cut(classes.where("root IS NOT NULL").groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias("_d"), F.col("k.th").alias("_th")).distinct(), "jaccard-kept")
+    kept = cut(classes.where("root IS NOT NULL").groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias(d), F.col("k.th").alias(th)).distinct(), "jaccard-kept")
     words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    named = docs.where(words).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    one = named.join(kept.hint("shuffle_hash"), ["_d", "_th"], "left_semi").dropDuplicates(["_d", "_th"]).select(*docs.columns)
+    named = docs.where(words).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    one = named.join(kept.hint("shuffle_hash"), [d, th], "left_semi").dropDuplicates([d, th]).select(*docs.columns)
     return one.unionByName(docs.where(~words))
 
 

@@ -8,13 +8,10 @@ the buckets' rows, end to end, round the shards, which are written as one folder
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, shared_dir, table
+from tessella.llm.common import cut, shared_dir, shuffles_freed, table
 
 SHARDS = 40
 SEED = 20_011
@@ -25,7 +22,6 @@ LEAST_BUCKETS = 64
 ROW_BYTES = 64
 #: Shuffled texts compress badly by the default, and three copies of them are on disk at the most.
 CODEC = "zstd"
-FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LAW = "rows"
 
 
@@ -53,7 +49,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("_at")), F.lit(buckets)).cast("int"))
     dealt = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(*held))).alias("rows"))
     shuffled = dealt.select("bucket", F.shuffle("rows", F.lit(seed)).alias("rows"))
-    with _shuffles_freed(docs.sparkSession):
+    with shuffles_freed(docs.sparkSession):
         placed = cut(shuffled.select("bucket", F.posexplode("rows").alias("pos", "row")).select("bucket", "pos", "row.*").drop("_at"), "shard-buckets", compression=CODEC)
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
@@ -67,17 +63,6 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     )
 
 
-@contextmanager
-def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """While it holds, the shuffle files of a written table go once it is written, not with the driver's garbage."""
-    before = spark.conf.get(FREE, "false")
-    spark.conf.set(FREE, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(FREE, before)
-
-
 def _digests(text: Column) -> list[Column]:
     body = F.coalesce(text, F.lit(""))
     return [(F.octet_length(body) + 16).cast("bigint").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32")]
@@ -87,7 +72,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     """Writes whole documents, one folder for each shard, in slot order."""
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "size", "text_crc32", "shard", "slot"))
     placed = shuffle_into_shards(docs, shards, seed, payload=extra)
-    with _shuffles_freed(docs.sparkSession):
+    with shuffles_freed(docs.sparkSession):
         placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression=CODEC)
 
 

@@ -71,9 +71,23 @@ def test_prefix_length():
     assert [jaccard.prefix_length(n) for n in (0, 1, 4, 8)] == [0, 1, 2, 3]
 
 
-def test_counts_bound_the_overlap():
-    rng = random.Random(9)
-    for _ in range(300):
-        pool = [rng.getrandbits(64) for _ in range(rng.choice((3, 40, 900)))]
-        a, b = (jaccard.np.unique(jaccard.np.array(rng.sample(pool, rng.randint(1, len(pool))), jaccard.np.uint64)) for _ in range(2))
-        assert jaccard.most_overlap(jaccard._counts(a), jaccard._counts(b)) >= len(set(a.tolist()) & set(b.tolist()))
+def test_planes_round_trip():
+    for kind in ("<u8", "<i8", "<u4"):
+        x = jaccard.np.arange(37).astype(kind) * 1_000_003 % 65_521
+        assert (jaccard._unplanes(jaccard._planes(x), kind) == x).all()
+
+
+def test_every_fragment_size_gives_the_same_classes(spark, monkeypatch):
+    rows = corpus(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(jaccard, "LEAST_FRAGMENTS", 3)
+    for often in (2, 10**6):  # all shared n-grams count as frequent; none does
+        monkeypatch.setattr(jaccard, "SEEN_OFTEN", often)
+        got = sorted((r[0], r[1], r[2]) for r in jaccard.jaccard_classes(docs).select("doc_id", "n_shingles", "component_id").collect())
+        assert got == brute(rows)
+
+
+def test_keep_one_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", 7), (2, "A b c", 6, "y", 8), (3, None, 7, "z", 9)], "doc_id long, text string, id int, hash string, th int")
+    got = {tuple(r) for r in jaccard.keep_one(docs).collect()}
+    assert got == {(1, "a b c", 5, "x", 7), (3, None, 7, "z", 9)}
