@@ -9,7 +9,6 @@ two tokens again. Pieces repeat, so each worker remembers the encodings of the p
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
@@ -23,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.common import by_chars, map_batches, table, texts
 
-PIECE_CACHE = 250_000
-PAIR_CACHE = 400_000
-CHARS_AT_ONCE = 2_000_000
+PIECE_CACHE_BYTES = 24_000_000  # of remembered pieces with their ids, in each worker; longer pieces are not kept
+LONGEST_KEPT = 100  # code points of a piece that is remembered
+PAIR_CACHE = 200_000
+CHARS_AT_ONCE = 500_000
+_ENTRY = 200  # bytes that Python needs for a remembered piece besides its text and ids
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -36,57 +37,69 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class SuffixAutomaton:
-    """Of a set of byte strings; each state knows the strings of the set that end there."""
+    """Of a set of byte strings; each state knows the strings of the set that end there.
+
+    Transitions are in one dict, by state and byte; links and lengths in flat arrays.
+    """
 
     def __init__(self, items: list[bytes]):
-        self.go: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.go: dict[int, int] = {}
+        self.out: list[bytes] | None = [b""]  # the bytes that leave each state, while it is built
+        self.link, self.length = array("i", [-1]), array("i", [0])
         for item in items:
             last = 0
             for c in item:
                 last = self._extend(last, c)
-        own: list[list[tuple[int, int]]] = [[] for _ in self.go]
+        own: dict[int, list[int]] = {}
         for k, item in enumerate(items):
             s = 0
             for c in item:
-                s = self.go[s][c]
-            own[s].append((len(item), k))
-        #: for each state, (length, index) of the items that are suffixes of its longest string, longest first
-        self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * len(self.go)
-        for s in sorted(range(1, len(self.go)), key=self.length.__getitem__):
-            self.suffixes[s] = (*sorted(own[s], reverse=True), *self.suffixes[self.link[s]])
+                s = self.go[s << 8 | c]
+            own.setdefault(s, []).append(k)
+        self.out = None
+        #: for each state, the indices of the items that are suffixes of its longest string, longest first
+        self.suffixes: list[tuple[int, ...]] = [()] * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            below = self.suffixes[self.link[s]]
+            self.suffixes[s] = (*own[s], *below) if s in own else below  # the items of one state are equal in length
 
     def _extend(self, last: int, c: int) -> int:
         go, link, length = self.go, self.link, self.length
-        there = go[last].get(c)
+        there = go.get(last << 8 | c)
         if there is not None:
             return there if length[there] == length[last] + 1 else self._split(last, c, there)
-        new = self._state({}, -1, length[last] + 1)
+        new = self._state(-1, length[last] + 1)
         p = last
-        while p != -1 and c not in go[p]:
-            go[p][c] = new
+        while p != -1 and p << 8 | c not in go:
+            self._lead(p, c, new)
             p = link[p]
         if p == -1:
             link[new] = 0
         else:
-            q = go[p][c]
+            q = go[p << 8 | c]
             link[new] = q if length[q] == length[p] + 1 else self._split(p, c, q)
         return new
 
     def _split(self, p: int, c: int, q: int) -> int:
         go, link = self.go, self.link
-        copy = self._state(dict(go[q]), link[q], self.length[p] + 1)
+        copy = self._state(link[q], self.length[p] + 1)
+        for d in self.out[q]:
+            self._lead(copy, d, go[q << 8 | d])
         link[q] = copy
-        while p != -1 and go[p].get(c) == q:
-            go[p][c] = copy
+        while p != -1 and go.get(p << 8 | c) == q:
+            go[p << 8 | c] = copy
             p = link[p]
         return copy
 
-    def _state(self, go: dict[int, int], link: int, length: int) -> int:
-        self.go.append(go)
+    def _lead(self, p: int, c: int, to: int) -> None:
+        self.go[p << 8 | c] = to
+        self.out[p] += bytes((c,))
+
+    def _state(self, link: int, length: int) -> int:
         self.link.append(link)
         self.length.append(length)
-        return len(self.go) - 1
+        self.out.append(b"")
+        return len(self.link) - 1
 
 
 class PrefixEncoder:
@@ -100,24 +113,38 @@ class PrefixEncoder:
         vocab = {bytes(map(alphabet.__getitem__, k)): v for k, v in spec["model"]["vocab"].items() if k not in special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         as_bytes = lambda s: bytes(map(alphabet.__getitem__, s))
-        self.rank = {(vocab[as_bytes(a)], vocab[as_bytes(b)]): (k, vocab[as_bytes(a + b)]) for k, (a, b) in enumerate(merges)}
+        #: of two tokens a and b, under a << 20 | b: the place in the list of merges
+        self.rank = {vocab[as_bytes(a)] << 20 | vocab[as_bytes(b)]: k for k, (a, b) in enumerate(merges)}
+        self.merged = array("i", [vocab[as_bytes(a + b)] for a, b in merges])
         self.byte_id = [vocab[bytes([b])] for b in range(256)]
         self.of_id: list[bytes] = [b""] * (max([*vocab.values(), *special.values()]) + 1)
         for k, v in vocab.items():
             self.of_id[v] = k
         for k, v in special.items():
             self.of_id[v] = k.encode()
-        reachable = set(self.byte_id) | {new for _, new in self.rank.values()}
-        self.tokens = [(k, v) for k, v in vocab.items() if v in reachable]
-        self.automaton = SuffixAutomaton([k for k, _ in self.tokens])
-        self.candidates = [tuple((n, self.tokens[k][1]) for n, k in x) for x in self.automaton.suffixes]
-        self.left, self.right = self._spines()
+        reachable = set(self.byte_id) | set(self.merged)
+        tokens = [(k, v) for k, v in vocab.items() if v in reachable]
+        self.automaton = SuffixAutomaton([k for k, _ in tokens])
+        #: for each state, (length, id) of the tokens that may end there; one pair for each token, shared by all states
+        pair = [(len(k), v) for k, v in tokens]
+        self.candidates = [tuple(map(pair.__getitem__, x)) for x in self.automaton.suffixes]
+        self.automaton.suffixes = []
+        self.parts = self._parts()
+        self.left: dict[int, tuple] = {}
+        self.right: dict[int, tuple] = {}
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")  # the public byte-level pattern
         self.latin_pieces = self._latin_pattern()
         self.special = special
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
+
+    def forget(self) -> None:
+        """Lets go of what was remembered from texts; the vocabulary's tables stay."""
+        for held in (self.known, self.pairs, self.left, self.right):
+            held.clear()
+        self.known_bytes = 0
 
     @staticmethod
     def _latin_pattern() -> re.Pattern[str]:
@@ -126,29 +153,32 @@ class PrefixEncoder:
         letter, number, space = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
         return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
-    def _spines(self) -> tuple[list, list]:
-        """For each token, its first (last) part at every stage of its own merging, with the rank that absorbs the part."""
-        made: dict[int, list[tuple[int, int, int]]] = {}
-        for (a, b), (rank, new) in self.rank.items():
-            made.setdefault(new, []).append((rank, a, b))
-        never = len(self.rank)
-        left: list = [None] * len(self.of_id)
-        right: list = [None] * len(self.of_id)
-        for b in self.byte_id:
-            left[b] = right[b] = ((b, never),)
-        for token in sorted(made, key=lambda t: len(self.of_id[t])):
-            rank, a, b = made[token][0] if len(made[token]) == 1 else self._last_merge(token)
-            left[token] = (*left[a][:-1], (a, rank), (token, never))
-            right[token] = (*right[b][:-1], (b, rank), (token, never))
-        return left, right
-
-    def _last_merge(self, token: int) -> tuple[int, int, int]:
+    def _parts(self) -> dict[int, int]:
+        """For each merged token, the place of the merge that makes it last when its own bytes are merged."""
+        made: dict[int, list[int]] = {}
+        for k, new in enumerate(self.merged):
+            made.setdefault(new, []).append(k)
+        self.two = array("i", [0]) * (2 * len(self.merged))
+        for pair, k in self.rank.items():
+            self.two[2 * k], self.two[2 * k + 1] = pair >> 20, pair & 0xFFFFF
+        return {token: ks[0] if len(ks) == 1 else self._last_merge(token) for token, ks in made.items()}
+
+    def _last_merge(self, token: int) -> int:
         """Which of several merges makes this token when its own bytes are merged."""
         ids = [self.byte_id[b] for b in self.of_id[token]]
         while len(ids) > 2:
-            _, k = min((self.rank[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in self.rank)
-            ids[k : k + 2] = [self.rank[ids[k], ids[k + 1]][1]]
-        return self.rank[ids[0], ids[1]][0], ids[0], ids[1]
+            rank, k = min((self.rank[p], k) for k, p in enumerate(a << 20 | b for a, b in zip(ids, ids[1:])) if p in self.rank)
+            ids[k : k + 2] = [self.merged[rank]]
+        return self.rank[ids[0] << 20 | ids[1]]
+
+    def spine(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
+        """The token's first (side 0) or last (side 1) part at every stage of its own merging, with the rank that absorbs the part."""
+        found, rank, part = [(token, len(self.merged))], self.parts.get(token), token
+        while rank is not None:
+            part = self.two[2 * rank + side]
+            found.append((part, rank))
+            rank = self.parts.get(part)
+        return tuple(found[::-1])
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined bytes of two tokens gives the two again.
@@ -156,12 +186,16 @@ class PrefixEncoder:
         Follows the two parts that touch at the seam while each grows inside its own token, and asks
         whether they would merge with each other first. Of equal ranks the merge further left comes first.
         """
-        grow_a, grow_b, rank = self.right[a], self.left[b], self.rank
+        grow_a, grow_b, rank = self.right.get(a), self.left.get(b), self.rank
+        if grow_a is None:
+            grow_a = self.right[a] = self.spine(a, 1)
+        if grow_b is None:
+            grow_b = self.left[b] = self.spine(b, 0)
         i = j = 0
         while True:
             (x, until_x), (y, until_y) = grow_a[i], grow_b[j]
-            cross = rank.get((x, y))
-            if cross is not None and cross[0] < until_x and cross[0] <= until_y:
+            cross = rank.get(x << 20 | y)
+            if cross is not None and cross < until_x and cross <= until_y:
                 return False
             if until_x <= until_y:
                 if i + 1 == len(grow_a):
@@ -190,11 +224,11 @@ class PrefixEncoder:
             state, matched = states[same], matches[same]
             for i in range(same + 1, len(data) + 1):
                 c = data[i - 1]
-                there = go[state].get(c)
+                there = go.get(state << 8 | c)
                 while there is None and state:
                     state = link[state]
                     matched = length[state]
-                    there = go[state].get(c)
+                    there = go.get(state << 8 | c)
                 if there is None:
                     raise ValueError("the vocabulary lacks a byte of the text")
                 state = there
@@ -220,18 +254,28 @@ class PrefixEncoder:
                 ids.append(last[i])
                 i -= size[i]
             out.append(array("I", ids[::-1]).tobytes())
-        if len(pairs) > PAIR_CACHE:
-            pairs.clear()
+            if len(pairs) > PAIR_CACHE:
+                pairs.clear()
+                self.left.clear()
+                self.right.clear()
         return out
 
-    def learn(self, found: set[str]) -> None:
-        """Encodes the pieces that are not known yet."""
+    def learn(self, found: set[str]) -> dict[str, bytes]:
+        """Ids of all these pieces: those that are known, and the others, of which the shorter are remembered."""
         new = found.difference(self.known)
-        if len(self.known) + len(new) > PIECE_CACHE:
-            self.known.clear()
-            new = found
         order = sorted((x.encode(), x) for x in new)
-        self.known.update(zip((x for _, x in order), self.encode_sorted([b for b, _ in order])))
+        made = dict(zip((x for _, x in order), self.encode_sorted([b for b, _ in order])))
+        if len(new) < len(found):
+            made.update((x, self.known[x]) for x in found.difference(new))
+        kept = [x for x in new if len(x) <= LONGEST_KEPT]
+        size = sum(_ENTRY + 2 * len(x) + len(made[x]) for x in kept)
+        if self.known_bytes + size > PIECE_CACHE_BYTES:
+            self.known.clear()
+            self.known_bytes = 0
+        if size <= PIECE_CACHE_BYTES:
+            self.known.update((x, made[x]) for x in kept)
+            self.known_bytes += size
+        return made
 
     def cut(self, text: str) -> list[str]:
         try:
@@ -242,17 +286,22 @@ class PrefixEncoder:
 
     def encode_all(self, batch: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [[(s in self.special, s if s in self.special else self.cut(s)) for s in self.special_split.split(t)] if self.special_split and any(s in t for s in self.special) else [(False, self.cut(t))] for t in batch]
+        parts = [self._marked(t) for t in batch]
         found: set[str] = set()
         for text in parts:
             for special, x in text:
                 if not special:
                     found.update(x)
-        self.learn(found)
-        known = self.known.__getitem__
+        known = self.learn(found).__getitem__
         for text in parts:
             yield b"".join([array("I", [self.special[x]]).tobytes() if special else b"".join(map(known, x)) for special, x in text])
 
+    def _marked(self, text: str) -> list[tuple[bool, list[str] | str]]:
+        """The text's pieces between reserved strings, and these."""
+        if not any(s in text for s in self.special):
+            return [(False, self.cut(text))]
+        return [(s in self.special, s if s in self.special else self.cut(s)) for s in self.special_split.split(text)]
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
@@ -265,10 +314,10 @@ _LOADED: dict[str, PrefixEncoder] = {}
 
 
 def encoder(path: str) -> PrefixEncoder:
-    """One encoder for each worker and file."""
+    """One encoder for each worker and file; of several files the last stays."""
     if path not in _LOADED:
+        _LOADED.clear()
         _LOADED[path] = PrefixEncoder(path)
-        gc.freeze()  # the tables stay; the collector need not walk them again
     return _LOADED[path]
 
 
@@ -290,20 +339,23 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in by_chars(batches, 1, CHARS_AT_ONCE):
-            n, a, b, lists = [], [], [], []
-            for ids in enc.encode_all(texts(batch.column(1))):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+        try:
+            for batch in by_chars(batches, 1, CHARS_AT_ONCE):
+                n, a, b, lists = [], [], [], []
+                for ids in enc.encode_all(texts(batch.column(1))):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    b.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+                    if keep_ids:
+                        lists.append(np.frombuffer(ids, "<u4").astype("i4"))
+                out = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    lists.append(np.frombuffer(ids, "<u4").astype("i4"))
-            out = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                out.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+                    out.append(pa.array(lists, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            enc.forget()
 
     return map_batches(docs.select("doc_id", "text"), run, columns)
 

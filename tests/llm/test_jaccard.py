@@ -1,9 +1,16 @@
 import random
 import re
 
+import pytest
+
 from tessella.llm import jaccard
 
 
+@pytest.fixture(autouse=True)
+def few_fragments(monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_FRAGMENTS", 4)
+
+
 def brute(rows):
     """Sizes and classes by comparing all pairs of sets."""
     sets = []

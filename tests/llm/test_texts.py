@@ -39,18 +39,28 @@ def test_bpe_equals_the_library(spark):
 def test_bpe_pair_rule_equals_merging():
     enc = bpe.encoder(bpe.vocabulary())
     rng = random.Random(1)
+    tokens = [*enc.byte_id, *enc.parts]
     for _ in range(3000):
-        a, b = rng.choice(enc.tokens)[1], rng.choice(enc.tokens)[1]
+        a, b = rng.choice(tokens), rng.choice(tokens)
         ids = [enc.byte_id[c] for c in enc.of_id[a] + enc.of_id[b]]
         while True:
-            ranked = [(enc.rank[p][0], k) for k, p in enumerate(zip(ids, ids[1:])) if p in enc.rank]
+            ranked = [(enc.rank[p], k) for k, p in enumerate(a << 20 | b for a, b in zip(ids, ids[1:])) if p in enc.rank]
             if not ranked:
                 break
-            k = min(ranked)[1]
-            ids[k : k + 2] = [enc.rank[ids[k], ids[k + 1]][1]]
+            rank, k = min(ranked)
+            ids[k : k + 2] = [enc.merged[rank]]
         assert enc.compatible(a, b) == (ids == [a, b])
 
 
+def test_bpe_forgets_texts_and_keeps_no_long_pieces():
+    enc = bpe.encoder(bpe.vocabulary())
+    before = enc.encode("a" * 5000 + " word")
+    assert all(len(x) <= bpe.LONGEST_KEPT for x in enc.known)
+    enc.forget()
+    assert not enc.known and not enc.pairs and enc.encode("a" * 5000 + " word") == before
+    enc.forget()
+
+
 def test_escapes_are_reversible():
     rng = random.Random(2)
     parts = [*chat.CONTROL, "\\", ".", "<", "|", "s>", "x"]
