@@ -136,6 +136,17 @@ def detokenise(spark: SparkSession, base: str) -> DataFrame:
     return _docs(spark, base).select("doc_id", detokenised(text.tokens(F.col("text"))).alias("sentence"))
 
 
+#: Expressions that Spark and DuckDB read alike.
+_INJECTED = """concat(CASE doc_id % 5 WHEN 0 THEN '« ' WHEN 1 THEN 'ya ya abana ' WHEN 2 THEN 'na ' ELSE '' END, text,
+  CASE doc_id % 7 WHEN 0 THEN ' ya abana 3 , 5 % .' WHEN 1 THEN ' x - y – z »' WHEN 2 THEN ' a 3, 5 b 2 . x <unk> c'
+  WHEN 3 THEN concat(' a.b - c', concat_ws(chr(39), ' n', ' abana d', ' na e')) WHEN 4 THEN concat(' b ', chr(39), 'tis 7 .5 7 %') WHEN 5 THEN ' umwe" ba ba ba abana "' ELSE '' END)"""
+
+
+def detokenise_marked(spark: SparkSession, base: str) -> DataFrame:
+    """The same with contractions, quotation marks, decimals, dashes and unknown tokens put in by the number of the document."""
+    return _docs(spark, base).select("doc_id", detokenised(text.tokens(F.expr(_INJECTED))).alias("sentence"))
+
+
 def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Generated numbers with their prefix and format; 200,000 of them, as many as the reference makes."""
     return generate.numeric_pairs(spark, 200_000).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
@@ -149,6 +160,7 @@ def translate_fallback(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     "detokenise": detokenise,
+    "detokenise_marked": detokenise_marked,
     "numeric_pairs": numeric_pairs,
     "translate_fallback": translate_fallback,
     "line_scan": line_scan_query,
@@ -219,7 +231,30 @@ def _nested(column: str, pairs: list[tuple[str, str]]) -> str:
 
 _AFTER = [(f" <unk> {c}{e}", f"''{c}{e}") for c in "st" for e in text.AFTER_SUFFIX]
 
+_DETOKENISE = r"""
+WITH t AS (SELECT doc_id, {tokens} AS t FROM documents),
+e AS (SELECT doc_id, len(t) AS n, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM t),
+w AS (SELECT *, lag(x) OVER d AS b, lag(x, 2) OVER d AS bb, lead(x) OVER d AS a FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, CASE
+  WHEN i < n AND (right(x, 1) = '''' OR (right(x, 1) = 'a' AND length(x) BETWEEN 2 AND 3 AND left(a, 1) IN ('i', 'u', 'o', 'a', 'e'))) THEN 'c'
+  WHEN i > 1 AND i < n AND x IN ('-', '–', '_') AND regexp_full_match(b, '[\pL\pN]+') AND regexp_full_match(a, '[\pL\pN]+') THEN 'd' ELSE '.' END AS f FROM w),
+g AS (SELECT *, coalesce(max(i) FILTER (f = '.') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS plain FROM f),
+m AS (SELECT *, CASE WHEN (i - plain) % 2 = 0 THEN 'x' ELSE f END AS m FROM g),
+o AS (SELECT *, lag(m) OVER (PARTITION BY doc_id ORDER BY i) AS bm FROM m),
+p AS (SELECT doc_id, i, m, x, CASE
+  WHEN m = 'x' THEN ''
+  WHEN m = 'd' THEN x || a
+  WHEN m = '.' AND i > 2 AND ((x = '%' AND regexp_matches(b, '[0-9]$')) OR (regexp_matches(x, '^[0-9]') AND right(b, 1) IN (',', '.')
+    AND CASE WHEN length(b) > 1 THEN regexp_matches(b, '[0-9].$') ELSE bm = '.' AND regexp_matches(bb, '[0-9]$') END)) THEN x
+  ELSE CASE WHEN i = 1 OR left(x, 1) IN (',', '.', ';', '?', '!', ':') OR (i = 2 AND contains({quotes}, right(b, 1))) OR (i = n AND contains({quotes}, left(x, 1))) THEN '' ELSE ' ' END
+    || CASE WHEN m = 'c' THEN left(x, -1) || '''' || a ELSE x END END AS s FROM o),
+s AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS s, count(*) FILTER (m IN ('.', 'c')) + 2 * count(*) FILTER (m = 'd') AS k FROM p GROUP BY doc_id)
+SELECT t.doc_id, coalesce(trim(regexp_replace(replace(CASE WHEN k > 1 THEN upper(left(s, 1)) || substr(s, 2) ELSE s END, '<unk>', ' '), '\s+', ' ', 'g')), '') AS sentence FROM t LEFT JOIN s USING (doc_id)
+"""
+_QUOTES = """'’‘`"''“”«»'"""
 ORACLE = {
+    "detokenise": _DETOKENISE.format(tokens=_words("text"), quotes=_QUOTES),
+    "detokenise_marked": _DETOKENISE.format(tokens=_words(_INJECTED), quotes=_QUOTES),
     "line_scan": _LINES + "SELECT doc_id, line_no, line FROM kept",
     "min_length_filter": _LINES
     + f"SELECT doc_id, count(*) AS n_lines, CAST(sum(len({_words('line')}) + 2) AS BIGINT) AS n_ids FROM kept WHERE len({_words('line')}) > 0 GROUP BY doc_id",

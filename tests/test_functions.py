@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics, numbers, sequences, text
-from tessella.functions.detokenise import detokenise
+from tessella.functions.detokenise import detokenised
 from tessella.operators import batching
 from tessella.operators.translate import lexicon_model, translate
 from tessella.sources.tables import line_scan
@@ -55,10 +55,50 @@ def test_budget_batches(spark):
     assert all(r["s"] <= 8 or r["k"] == 1 for r in spread)
 
 
-def test_detokenise():
-    assert detokenise("n ' abana 3 , 5 % .".split()) != ""
-    assert detokenise(["ya", "abana", "beza", "."]) == "Y'abana beza."
-    assert detokenise(["mu", "1", ",", "5", "%", "na", "<unk>", "x", "-", "y"]).endswith("x-y")
+DETOKENISED = {
+    "ya abana beza .": "Y'abana beza.",
+    "ya abana": "y'abana",
+    '" ya abana beza': "\"y'abana beza",
+    "« abana beza »": "«abana beza»",
+    "a 3, 5": "A 3,5",
+    "a 3 , 5 % .": "A 3,5%.",
+    "3 , 5": "3,5",
+    "x a.b - c": "X a.b - c",
+    "x - y": "X-y",
+    "x - - y": "X - - y",
+    "a b 'tis": "A b'tis",
+    'umwe" abana .': 'Umwe"abana.',
+    "n ' abana": "N 'abana",
+    "n' abana d": "N'abana d",
+    "n' abana": "n'abana",
+    "ba ba abana": "Ba b'abana",
+    "ba abana ba abana": "B'abana b'abana",
+    "beza abana": "Beza abana",
+    "a abana": "A abana",
+    "ya": "ya",
+    "ya beza": "Ya beza",
+    "a 5 . 5 . 5": "A 5.5.5",
+    "a b . 5": "A b. 5",
+    "a ya abana , 5": "A y'abana, 5",
+    "5 %": "5 %",
+    "a <unk> b": "A b",
+    "": "",
+    "é x": "É x",
+}
+
+
+def test_detokenise(spark):
+    rows = spark.createDataFrame(list(DETOKENISED.items()), "line string, want string")
+    got = rows.select("line", "want", detokenised(text.tokens(F.col("line"))).alias("got")).collect()
+    assert {r["line"]: r["got"] for r in got} == DETOKENISED
+
+
+def test_detokenise_keeps_tagged_words_apart(spark):
+    tags = F.create_map(*map(F.lit, ("ya", "PO", "abana", "V", "ba", "N")))
+    lines = {"ya abana x": "Ya abana x", "ya inka x": "Y'inka x", "ba inka x": "Ba inka x", "wa inka x": "W'inka x"}
+    rows = spark.createDataFrame([(k,) for k in lines], "line string")
+    got = {r["line"]: r["got"] for r in rows.select("line", detokenised(text.tokens(F.col("line")), tags).alias("got")).collect()}
+    assert got == lines
 
 
 def test_metrics(spark):
