@@ -287,3 +287,36 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
     none, _ = neighbours.usable(table.limit(0))
     assert neighbours.search(*neighbours.build_index(none), none).count() == 0
+
+
+def test_sharding_depends_on_rows_and_seed_alone(spark):
+    import zlib
+
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("é"), (F.col("id") % 50).cast("string"))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "x"), (None, "x"), (5000, None), (5000, None)], "doc_id long, text string"))
+    found = []
+    for parts, shuffles in ((1, "3"), (7, "11")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        got = sharding.shuffle_into_shards(docs.repartition(parts), 6).collect()
+        found.append(sorted((r["shard"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+    other = sharding.shuffle_into_shards(docs, 6, seed=1).collect()
+    assert sorted((r["shard"], r["slot"], r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in other) != found[0]
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    assert all(r["size"] == len(text[r["doc_id"]]) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in other)
+    # rows that are equal in id and text beyond what a bucket holds are spread by position
+    same = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("y").alias("text"))
+    got = sharding.shuffle_into_shards(same, 6, bucket_rows=16).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(6) for k in range(50)]
+
+
+def test_written_shards_keep_clashing_columns_in_several_files(spark, tmp_path):
+    docs = spark.range(90).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit(7).alias("slot"), F.lit("s").alias("size"))
+    sharding.write_shards(docs, str(tmp_path / "out"), shards=3, file_bytes=200)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("slot_", "size_").distinct().collect() == [(7, "s")]
+    files = [p for p in (tmp_path / "out").glob("shard=0/*.parquet")]
+    assert len(files) > 1
+    ranges = sorted((r[0], r[1]) for r in back.where("shard = 0").groupBy(F.input_file_name()).agg(F.min("slot"), F.max("slot")).select("min(slot)", "max(slot)").collect())
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
