@@ -231,8 +231,9 @@ def _nested(column: str, pairs: list[tuple[str, str]]) -> str:
 
 _AFTER = [(f" <unk> {c}{e}", f"''{c}{e}") for c in "st" for e in text.AFTER_SUFFIX]
 
+#: Sentences of the tokens of ``table``, by windows over one row for each token.
 _DETOKENISE = r"""
-WITH t AS (SELECT doc_id, {tokens} AS t FROM documents),
+WITH t AS (SELECT {id} AS doc_id, {tokens} AS t FROM {table}),
 e AS (SELECT doc_id, len(t) AS n, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM t),
 w AS (SELECT *, lag(x) OVER d AS b, lag(x, 2) OVER d AS bb, lead(x) OVER d AS a FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 f AS (SELECT *, CASE
@@ -249,12 +250,17 @@ p AS (SELECT doc_id, i, m, x, CASE
   ELSE CASE WHEN i = 1 OR left(x, 1) IN (',', '.', ';', '?', '!', ':') OR (i = 2 AND contains({quotes}, right(b, 1))) OR (i = n AND contains({quotes}, left(x, 1))) THEN '' ELSE ' ' END
     || CASE WHEN m = 'c' THEN left(x, -1) || '''' || a ELSE x END END AS s FROM o),
 s AS (SELECT doc_id, string_agg(s, '' ORDER BY i) AS s, count(*) FILTER (m IN ('.', 'c')) + 2 * count(*) FILTER (m = 'd') AS k FROM p GROUP BY doc_id)
-SELECT t.doc_id, coalesce(trim(regexp_replace(replace(CASE WHEN k > 1 THEN upper(left(s, 1)) || substr(s, 2) ELSE s END, '<unk>', ' '), '\s+', ' ', 'g')), '') AS sentence FROM t LEFT JOIN s USING (doc_id)
+SELECT t.doc_id AS {id}, coalesce(trim(regexp_replace(replace(CASE WHEN k > 1 THEN upper(left(s, 1)) || substr(s, 2) ELSE s END, '<unk>', ' '), '\s+', ' ', 'g')), '') AS sentence FROM t LEFT JOIN s USING (doc_id)
 """
-_QUOTES = """'’‘`"''“”«»'"""
+
+
+def detokenise_sql(tokens: str, table: str = "documents", key: str = "doc_id") -> str:
+    return _DETOKENISE.format(tokens=tokens, table=table, id=key, quotes="""'’‘`"''“”«»'""")
+
+
 ORACLE = {
-    "detokenise": _DETOKENISE.format(tokens=_words("text"), quotes=_QUOTES),
-    "detokenise_marked": _DETOKENISE.format(tokens=_words(_INJECTED), quotes=_QUOTES),
+    "detokenise": detokenise_sql(_words("text")),
+    "detokenise_marked": detokenise_sql(_words(_INJECTED)),
     "line_scan": _LINES + "SELECT doc_id, line_no, line FROM kept",
     "min_length_filter": _LINES
     + f"SELECT doc_id, count(*) AS n_lines, CAST(sum(len({_words('line')}) + 2) AS BIGINT) AS n_ids FROM kept WHERE len({_words('line')}) > 0 GROUP BY doc_id",
