@@ -298,18 +298,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, root (name of the class) and component_id of every row.
-
-    component_id is the smallest doc_id that links reach; root is null where there are no n-grams.
-    Links inside a class are not counted: pairs of sets that are in one class already are not compared,
-    so there is no number of links and no list of linked pairs.
-
-    Null and empty texts, and those of white space only, have no n-grams and link with nothing: their
-    class is their own id. Repeated rows and equal sets are one class. Rows with a null id get the
-    smallest id of their class, null if it has none. Texts of any length are whole sets; extra columns
-    are ignored; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles and root (name of the class, null without n-grams) of every row, written out."""
     spark = docs.sparkSession
     rows = cut(_sets(docs), "jaccard-sets")
     often = rows.where("common IS NOT NULL").select(F.explode("common").alias("x")).groupBy(F.col("x.t").alias("t")).agg(F.sum("x.c").alias("c"))
@@ -340,12 +330,29 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rest = _sized(left.join(right.drop("main"), "t").where(allowed)).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     more = _verified(sets, cut(rest, "jaccard-rest"))
     roots = cut(components(links.unionAll(more)), "jaccard-final-roots")
-    some = rows.where("n > 0")
-    placed = cut(some.join(roots, "node", "left").select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root")), "jaccard-placed")
-    smallest = cut(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
-    alone = rows.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    root = F.when(F.col("n") > 0, F.coalesce("root", "node"))
+    some, none = rows.where("n > 0").join(roots, "node", "left"), rows.where("n = 0").withColumn("root", F.lit(None).cast("long"))
+    return cut(some.select("node", "doc_id", "th", "n", "root").unionByName(none).select("doc_id", "th", F.col("n").alias("n_shingles"), root.alias("root")), "jaccard-placed")
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, root (name of the class) and component_id of every row.
+
+    component_id is the smallest doc_id that links reach; root is null where there are no n-grams.
+    Links inside a class are not counted: pairs of sets that are in one class already are not compared,
+    so there is no number of links and no list of linked pairs.
+
+    Null and empty texts, and those of white space only, have no n-grams and link with nothing: their
+    class is their own id. Repeated rows and equal sets are one class. Rows with a null id get the
+    smallest id of their class, null if it has none. Texts of any length are whole sets; extra columns
+    are ignored; an empty table gives no rows.
+    """
+    placed = _placed(docs)
+    some = placed.where("root IS NOT NULL")
+    smallest = cut(some.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-smallest")
+    alone = placed.where("root IS NULL").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "th", "n_shingles", "root", "component_id"]
-    return placed.join(smallest, "root").select(*columns).unionAll(alone.select(*columns))
+    return some.join(smallest, "root").select(*columns).unionAll(alone.select(*columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -355,9 +362,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept as they are.
     """
     d, th = unused(docs, "id"), unused(docs, "hash")
-    classes = jaccard_classes(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    kept = cut(classes.where("root IS NOT NULL").groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias(d), F.col("k.th").alias(th)).distinct(), "jaccard-kept")
+    kept = cut(_placed(docs).where("root IS NOT NULL").groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(-1)).alias(d), F.col("k.th").alias(th)).distinct(), "jaccard-kept")
     words = F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     named = docs.where(words).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     one = named.join(kept.hint("shuffle_hash"), [d, th], "left_semi").dropDuplicates([d, th]).select(*docs.columns)
