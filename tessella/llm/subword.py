@@ -40,7 +40,6 @@ class Spec:
     decay: float = 1e-6
     seed: int = 20_011
     sample_per_class: int = 1_500  # labelled training documents, at most, of either class
-    sample_chars: int = 30_000  # longer documents are not in the training sample (all are scored)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -240,13 +239,13 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, spec: Spec) -> tuple[list[str], list[int]]:
     """A bounded, deterministic sample of training texts: per class the documents with the smallest hashes.
 
-    A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``modulus``. Ids are
+    Texts of any length take part. A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``modulus``. Ids are
     chosen first and on narrow rows; only the chosen texts come to the driver. Of repeated or
     conflicting labels the larger counts.
     """
     ids = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).alias("y"))
     ids = ids.where(fold_of("doc_id", modulus) != held_out)
-    fit = docs.where("text IS NOT NULL").where(F.length("text") <= spec.sample_chars).select("doc_id").distinct()
+    fit = docs.where("text IS NOT NULL").select("doc_id").distinct()
     ids = ids.join(fit, "doc_id", "left_semi")
     chosen: dict[int, int] = {}
     for y in (0, 1):
@@ -254,11 +253,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         chosen.update((r["doc_id"], y) for r in rows)
     if not chosen:
         return [], []
-    got = docs.where(F.col("doc_id").isin(list(chosen))).where(F.length("text") <= spec.sample_chars).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    got = docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     return [r["text"] for r in got], [chosen[r["doc_id"]] for r in got]
 
 
+def is_held_out(column: str, modulus: int, held_out: int):
+    """Whether an id is in the held-out fold; a null id is not, as it has no label to learn from either."""
+    return F.coalesce(fold_of(column, modulus) == held_out, F.lit(False))
+
+
 def fold_of(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 

@@ -320,3 +320,32 @@ def test_written_shards_keep_clashing_columns_in_several_files(spark, tmp_path):
     assert len(files) > 1
     ranges = sorted((r[0], r[1]) for r in back.where("shard = 0").groupBy(F.input_file_name()).agg(F.min("slot"), F.max("slot")).select("min(slot)", "max(slot)").collect())
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_classifier_queries_equal_plain_scores(spark, tmp_path):
+    """held_out by its definition, scores by adding up the model's weights word by word, null ids and texts as any other."""
+    import zlib
+
+    from tessella.llm import quality, toxicity
+
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "a few words"), (90_001, None), (90_002, "")], "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{base}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, module, modulus, fold in ((quality.op1_quality_classifier, quality, 4, 2), (toxicity.op8_toxicity, toxicity, 3, 1)):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == docs.count()
+        model = module.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+        text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        for r in rows:
+            assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % modulus == fold)
+            assert r["predicted"] == int(r["score"] >= 0.7)
+            bucket, owner, counts = subword.features([text[r["doc_id"]]], model.spec)
+            words = [[] for _ in range(int(counts[0]))]
+            for b, w in zip(bucket.tolist(), owner.tolist()):
+                words[w].append(float(model.weight[b]))
+            means = [sum(w) / len(w) for w in words]
+            size = model.spec.window or len(means)
+            windows = [means[k : k + size] for k in range(max(len(means) - size + 1, 1))] if means else []
+            logit = model.bias + (max(sum(w) / len(w) for w in windows) if windows else 0)
+            assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(logit, -50, 50)))) < 1e-6
