@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import assembly, decoding, evaluation, layouts, pairs, records, sequences, texts
+from tessella.plans import assembly, decoding, evaluation, layouts, pagework, pairs, records, sequences, texts
 
-FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts]
+FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
