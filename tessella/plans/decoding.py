@@ -64,8 +64,7 @@ def slot_resolution(spark: SparkSession, base: str) -> DataFrame:
 
 def corr_joint(spark: SparkSession, base: str) -> DataFrame:
     """Joint probability of (order, part, supplier) candidates whose three pair tables all hold the pair."""
-    items = _items(spark, base).where("l_orderkey < 2000")
-    cand = items.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    cand = _items(spark, base).select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     pairs = lambda a, b, mod: cand.where((F.col(a) + F.col(b)) % mod != 0).groupBy(a, b).agg(F.count("*").alias(f"c_{a}{b}"))
     kept = cand.join(pairs("o", "p", 5), ["o", "p"]).join(pairs("o", "s", 7), ["o", "s"]).join(pairs("p", "s", 11), ["p", "s"])
     logs = sum(((F.log(1.0 / (2 + F.col(c) % 5))) for c in ("o", "p", "s")), F.lit(0.0))
@@ -103,10 +102,10 @@ def best_hypothesis(spark: SparkSession, base: str) -> DataFrame:
 
 
 def copy_ratio(spark: SparkSession, base: str) -> DataFrame:
-    """Share of each document's first ten words among the first hundred of the document before it."""
+    """Share of each document's distinct words among the words of the document before it."""
     words = table(spark, base, "documents").select("doc_id", text.tokens(F.col("text")).alias("w"))
-    before = words.select((F.col("doc_id") + 1).alias("doc_id"), F.slice("w", 1, 100).alias("before"))
-    own = F.array_distinct(F.slice("w", 1, 10))
+    before = words.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("before"))
+    own = F.array_distinct("w")
     return words.join(before, "doc_id").where(F.size("w") > 0).select("doc_id", F.round(F.size(F.array_intersect(own, F.col("before"))) / F.size(own), DIGITS).alias("ratio"))
 
 
@@ -137,7 +136,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END, l_quantity DESC, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1
 """,
     "corr_joint": """
-WITH c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey < 2000),
+WITH c AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
 op AS (SELECT o, p, count(*) AS n FROM c WHERE (o + p) % 5 <> 0 GROUP BY ALL),
 os AS (SELECT o, s, count(*) AS n FROM c WHERE (o + s) % 7 <> 0 GROUP BY ALL),
 ps AS (SELECT p, s, count(*) AS n FROM c WHERE (p + s) % 11 <> 0 GROUP BY ALL),
@@ -160,7 +159,7 @@ FROM orders LEFT JOIN r ON l_orderkey = o_orderkey AND k = 1
 """,
     "copy_ratio": f"""
 WITH w AS (SELECT doc_id, {_W} AS w FROM documents)
-SELECT a.doc_id, round(len(list_intersect(list_distinct(a.w[1:10]), b.w[1:100])) / len(list_distinct(a.w[1:10])), 9) AS ratio
+SELECT a.doc_id, round(len(list_intersect(list_distinct(a.w), b.w)) / len(list_distinct(a.w)), 9) AS ratio
 FROM w a JOIN w b ON a.doc_id = b.doc_id + 1 WHERE len(a.w) > 0
 """,
 }

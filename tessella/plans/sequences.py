@@ -10,9 +10,9 @@ from tessella.operators import batching
 from tessella.sources.tables import table
 
 
-def _ids(n: int = 24) -> Column:
-    """Stand-in token ids: word lengths, spread a little; at most ``n``."""
-    return F.transform(F.slice(text.tokens(F.col("text")), 1, n), lambda x, i: (F.length(x) * 7 + i).cast("int"))
+def _ids() -> Column:
+    """Stand-in token ids of a whole text: word lengths, spread by place."""
+    return F.transform(text.tokens(F.col("text")), lambda x, i: (F.length(x) * 7 + i).cast("int"))
 
 
 def _docs(spark: SparkSession, base: str) -> DataFrame:
@@ -37,12 +37,12 @@ def causal_mask(spark: SparkSession, base: str) -> DataFrame:
 
 
 def multi_hot(spark: SparkSession, base: str) -> DataFrame:
-    hot = sequences.multi_hot(F.transform(_ids(8), lambda x: x % 32), 32)
+    hot = sequences.multi_hot(F.transform(_ids(), lambda x: x % 32), 32)
     return _docs(spark, base).select("doc_id", F.array_join(F.transform(hot, lambda v: v.cast("int")), "").alias("hot"))
 
 
 def ragged_split(spark: SparkSession, base: str) -> DataFrame:
-    docs = _docs(spark, base).select("doc_id", _ids(24).alias("v"))
+    docs = _docs(spark, base).select("doc_id", _ids().alias("v"))
     lengths = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: ((F.col("doc_id") + k) % 4).cast("int"))
     pieces = sequences.ragged_split(F.col("v"), lengths)
     return docs.select("doc_id", F.array_join(F.transform(pieces, lambda p: F.array_join(p, ",")), "|").alias("pieces"))
@@ -50,7 +50,7 @@ def ragged_split(spark: SparkSession, base: str) -> DataFrame:
 
 def token_roundtrip(spark: SparkSession, base: str) -> DataFrame:
     """Packed tokens parsed, unrolled into parallel arrays and packed again."""
-    packed = F.concat_ws(";", F.transform(F.slice(_ids(6), 1, 3), lambda x, i: F.concat_ws(",", x, x + 1, x % 7, x + 2, F.when(i == 1, F.concat_ws(",", F.lit(2), x + 3, x + 4)).otherwise("0"), F.lit(1), x % 5)))
+    packed = F.concat_ws(";", F.transform(_ids(), lambda x, i: F.concat_ws(",", x, x + 1, x % 7, x + 2, F.when(i == 1, F.concat_ws(",", F.lit(2), x + 3, x + 4)).otherwise("0"), F.lit(1), x % 5)))
     docs = _docs(spark, base).select("doc_id", packed.alias("line"))
     docs = docs.select("doc_id", "line", sequences.parse_sentence(F.col("line")).alias("s"))
     arrays = sequences.unroll(F.col("s"))
@@ -65,7 +65,7 @@ def pack_offsets(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _lengths(spark: SparkSession, base: str) -> DataFrame:
-    return _docs(spark, base).select("doc_id", "source", F.least(F.size(text.tokens(F.col("text"))), F.lit(512)).cast("bigint").alias("n"))
+    return _docs(spark, base).select("doc_id", "source", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n"))
 
 
 def token_budget_batches(spark: SparkSession, base: str) -> DataFrame:
@@ -143,11 +143,7 @@ def resume_antijoin(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (wrap_truncate, pad_mask, causal_mask, multi_hot, ragged_split, token_roundtrip, pack_offsets, token_budget_batches, bucket_mark, corpus_union_repeat, token_stats, token_pct_rank, tfidf_keywords, shard_ranges, resume_antijoin)}
 
 _W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
-_V = "list_transform(({w})[1:{n}], lambda x, i: length(x) * 7 + i - 1)"
-
-
-def _v(n: int) -> str:
-    return _V.format(w=_W, n=n)
+_V = f"list_transform({_W}, lambda x, i: length(x) * 7 + i - 1)"
 
 
 _STATS = f"""
@@ -159,7 +155,7 @@ s AS (SELECT lower(w) AS token, count(*) AS total, count(DISTINCT doc_id) AS doc
 _FOLD = f"""
 WITH RECURSIVE r AS (
   SELECT doc_id, source, n, row_number() OVER (PARTITION BY source ORDER BY n, doc_id) AS k, sum(n) OVER (PARTITION BY source) AS total
-  FROM (SELECT doc_id, source, least(len({_W}), 512) AS n FROM documents)
+  FROM (SELECT doc_id, source, len({_W}) AS n FROM documents)
 ), fold AS (
   SELECT source, k, n, CAST(0 AS BIGINT) AS batch, CAST(n AS BIGINT) AS held FROM r WHERE k = 1
   UNION ALL
@@ -170,13 +166,13 @@ WITH RECURSIVE r AS (
 """
 ORACLE = {
     "wrap_truncate": f"""
-WITH v AS (SELECT doc_id, {_v(24)} AS v FROM documents),
+WITH v AS (SELECT doc_id, {_V} AS v FROM documents),
 a AS (SELECT doc_id, CASE WHEN v[1] = 0 THEN v ELSE list_prepend(0, v) END AS v FROM v),
 b AS (SELECT doc_id, CASE WHEN v[-1] = 2 THEN v ELSE list_append(v, 2) END AS v FROM a)
 SELECT doc_id, array_to_string(CASE WHEN len(v) > 16 THEN list_append(v[1:15], v[-1]) ELSE v END, ' ') AS ids FROM b
 """,
     "pad_mask": f"""
-WITH v AS (SELECT doc_id, ({_v(24)})[1:doc_id % 12 + 1] AS v FROM documents)
+WITH v AS (SELECT doc_id, ({_V})[1:doc_id % 12 + 1] AS v FROM documents)
 SELECT doc_id, array_to_string(list_resize(v, 12, 1), ' ') AS padded,
        array_to_string(list_transform(range(1, 13), lambda i: CASE WHEN i >= len(v) THEN 1 ELSE 0 END), '') AS mask FROM v
 """,
@@ -185,17 +181,17 @@ SELECT doc_id, array_to_string(list_transform(range(0, (doc_id % 6 + 1) * (doc_i
   lambda p: CASE WHEN p % (doc_id % 6 + 1) <= p // (doc_id % 6 + 1) THEN '0' ELSE '-' END), '') AS mask FROM documents
 """,
     "multi_hot": f"""
-WITH v AS (SELECT doc_id, list_transform({_v(8)}, lambda y: y % 32) AS v FROM documents)
+WITH v AS (SELECT doc_id, list_transform({_V}, lambda y: y % 32) AS v FROM documents)
 SELECT doc_id, array_to_string(list_transform(range(0, 32), lambda i: CASE WHEN list_contains(v, i) THEN 1 ELSE 0 END), '') AS hot FROM v
 """,
     "ragged_split": f"""
-WITH v AS (SELECT doc_id, {_v(24)} AS v FROM documents)
+WITH v AS (SELECT doc_id, {_V} AS v FROM documents)
 SELECT doc_id, array_to_string(list_transform(range(1, 7), lambda k: coalesce(array_to_string(
   v[1 + CAST(list_sum(list_transform(range(1, k + 1), lambda j: (doc_id + j) % 4)) - (doc_id + k) % 4 AS BIGINT) :
     CAST(list_sum(list_transform(range(1, k + 1), lambda j: (doc_id + j) % 4)) AS BIGINT)], ','), '')), '|') AS pieces FROM v
 """,
     "token_roundtrip": f"""
-WITH v AS (SELECT doc_id, ({_v(6)})[1:3] AS v FROM documents),
+WITH v AS (SELECT doc_id, {_V} AS v FROM documents),
 t AS (SELECT doc_id, v, list_transform(v, lambda x, i: CASE WHEN i = 2 THEN [x + 3, x + 4] ELSE [x + 2] END) AS s FROM v)
 SELECT doc_id,
   array_to_string(list_transform(v, lambda x, i: concat_ws(',', x, x + 1, x % 7, x + 2, CASE WHEN i = 2 THEN concat_ws(',', 2, x + 3, x + 4) ELSE '0' END, 1, x % 5)), ';') AS line,
