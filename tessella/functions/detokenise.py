@@ -8,6 +8,8 @@ the token before it, so that every other rule looks at neighbours only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def _joins(token: Column, before: Column, following: Column) -> Column:
     return F.coalesce(token.isin(*DASHES) & F.rlike(before, F.lit(ALNUM)) & F.rlike(following, F.lit(ALNUM)), F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def detokenised(tokens: Column, tags: Column | None = None) -> Column:
     """The sentence of an array of tokens; ``tags``, a map from token to part of speech, keeps some from contracting.
 
@@ -45,17 +52,26 @@ def detokenised(tokens: Column, tags: Column | None = None) -> Column:
     The first character becomes upper case if more than one piece was written; ``<unk>`` becomes a space.
     Null gives null, no tokens an empty sentence.
     """
+    return F.when(F.size(tokens) == 0, "").otherwise(_let(tokens, lambda t: _joined(t, tags)))
+
+
+def _joined(tokens: Column, tags: Column | None) -> Column:
+    """The sentence of one or more tokens. Every array is built once; a token's neighbours come with it."""
     none = F.array(F.lit(None).cast("string"))
-    # every array is built once; a token's neighbours come with it, so that no step goes back to the whole array
     pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda x, after: F.struct(x.alias("x"), after.alias("after")))
-    before = F.concat(none, F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
+    before = F.concat(none, F.slice(tokens, F.lit(1), F.size(tokens) - 1))
     near = F.zip_with(pairs, before, lambda s, y: F.struct(s["x"].alias("x"), s["after"].alias("after"), y.alias("before")))
-    found = F.transform(near, lambda s: F.when(_contracts(s["x"], s["after"], tags), "c").when(_joins(s["x"], s["before"], s["after"]), "d").otherwise("."))
-    marks = F.split(F.regexp_replace(F.array_join(found, ""), "([cd]).", "$1x"), "")
-    marks_before = F.concat(none, F.slice(marks, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
-    second = F.concat(none, none, F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(0))))
-    earlier = F.zip_with(F.zip_with(marks, marks_before, lambda m, y: F.struct(m.alias("mark"), y.alias("mark_before"))), second, lambda s, y: F.struct(s["mark"].alias("mark"), s["mark_before"].alias("mark_before"), y.alias("second")))
-    places = F.filter(F.zip_with(near, earlier, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: p["s"]["x"].isNotNull())
+
+    def marked(near: Column) -> Column:
+        found = F.transform(near, lambda s: F.when(_contracts(s["x"], s["after"], tags), "c").when(_joins(s["x"], s["before"], s["after"]), "d").otherwise("."))
+        return _let(F.split(F.regexp_replace(F.array_join(found, ""), "([cd]).", "$1x"), ""), lambda marks: _let(written(near, marks), lambda s: finished(s, marks)))
+
+    def written(near: Column, marks: Column) -> Column:
+        marks_before = F.concat(none, F.slice(marks, F.lit(1), F.size(tokens) - 1))
+        second = F.concat(none, none, F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(0))))
+        earlier = F.zip_with(F.zip_with(marks, marks_before, lambda m, y: F.struct(m.alias("mark"), y.alias("mark_before"))), second, lambda s, y: F.struct(s["mark"].alias("mark"), s["mark_before"].alias("mark_before"), y.alias("second")))
+        places = F.filter(F.zip_with(near, earlier, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), lambda p: p["s"]["x"].isNotNull())
+        return F.array_join(F.transform(places, piece), "")
 
     def piece(p: Column, k: Column) -> Column:
         token, following, before = p["s"]["x"], p["s"]["after"], p["s"]["before"]
@@ -74,7 +90,9 @@ def detokenised(tokens: Column, tags: Column | None = None) -> Column:
             .otherwise(F.concat(space, token))
         )
 
-    sentence = F.array_join(F.transform(places, piece), "")
-    pieces = F.size(F.filter(marks, lambda m: (m == ".") | (m == "c"))) + 2 * F.size(F.filter(marks, lambda m: m == "d"))
-    cased = F.when(pieces > 1, F.concat(F.upper(F.left(sentence, F.lit(1))), F.substr(sentence, F.lit(2)))).otherwise(sentence)
-    return F.when(F.size(tokens) == 0, "").otherwise(F.trim(F.regexp_replace(F.replace(cased, F.lit("<unk>"), F.lit(" ")), r"\s+", " ")))
+    def finished(sentence: Column, marks: Column) -> Column:
+        pieces = F.aggregate(marks, F.lit(0), lambda n, m: n + F.when(m == "d", 2).when(m == "x", 0).when(m == "", 0).otherwise(1))
+        cased = F.when(pieces > 1, F.concat(F.upper(F.left(sentence, F.lit(1))), F.substr(sentence, F.lit(2)))).otherwise(sentence)
+        return F.trim(F.regexp_replace(F.replace(cased, F.lit("<unk>"), F.lit(" ")), r"\s+", " "))
+
+    return _let(near, marked)
