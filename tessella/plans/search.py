@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import beam
+from tessella.functions import beam, legal
 from tessella.sources.tables import line_scan, table
 
 VOCABULARY, BOS, EOS = 8, 0, 2
@@ -83,7 +83,25 @@ def word_spaces(spark: SparkSession, base: str) -> DataFrame:
     return found.select("l_orderkey", F.col("o.no").cast("bigint").alias("no"), F.col("o.blank").cast("int").alias("blank"))
 
 
-QUERIES = {f.__name__: f for f in (beam_search, surface_synthesis, lexicon_entries, word_spaces)}
+_LEGAL = """CASE WHEN line_no = 0 AND doc_id % 3 = 0 THEN 'Official Gazette no 4 of 12/03/2004' ELSE CASE (doc_id + line_no) % 13
+  WHEN 0 THEN CASE WHEN line_no % 3 = 0 THEN 'Ingingo ya mbere: ' ELSE 'Ingingo ya ' || (line_no % 3 + 1) || '. ' END || line
+  WHEN 1 THEN 'Article ' || (line_no % 4 + 1) WHEN 2 THEN CASE WHEN line_no % 2 = 0 THEN 'Article one: ' ELSE 'Article 3' END WHEN 3 THEN 'Article premier.'
+  WHEN 4 THEN ': ' || line WHEN 5 THEN 'UMUTWE WA II' WHEN 6 THEN 'Section two' WHEN 7 THEN 'Kigali, on 12/03/2004' WHEN 8 THEN '(Sé)' WHEN 9 THEN '14'
+  WHEN 10 THEN 'HEREBY ORDERS' ELSE line END END"""
+_BOLD = "(doc_id + line_no * 3) % 5 <> 0"
+
+
+def legal_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Class, article number and language of every line of each document, read as one column of a gazette."""
+    lines = line_scan(table(spark, base, "documents").select("doc_id", "text")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    last = F.col("line_no") == F.max("line_no").over(Window.partitionBy("doc_id"))
+    facts = legal.line_facts(F.col("line_no"), F.col("line"), F.expr(_BOLD), F.col("last"))
+    each = lines.select("doc_id", "line_no", F.expr(_LEGAL).alias("line"), last.alias("last")).select("doc_id", facts.alias("x"))
+    columns = each.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("lines"))
+    return columns.select("doc_id", F.inline(legal.linked(F.col("lines"))))
+
+
+QUERIES = {f.__name__: f for f in (beam_search, surface_synthesis, lexicon_entries, word_spaces, legal_lines)}
 
 
 def _beam_sql() -> str:
@@ -112,7 +130,42 @@ FROM r QUALIFY row_number() OVER (PARTITION BY s ORDER BY kind, cost, seq) = 1""
     )
 
 
+def _legal_sql() -> str:
+    """Line by line down every document, by recursion."""
+    has = lambda c, *patterns: "(" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in patterns) + ")"
+    found = "coalesce(" + ", ".join(f"nullif(regexp_extract(low, '{p}', 2), '')" for _, p in legal.ARTICLES) + ")"
+    return f"""
+WITH RECURSIVE parts AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM documents),
+every AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line, len(l) AS n FROM parts),
+ends AS (SELECT doc_id, coalesce(max(line_no) FILTER (line <> ''), -1) AS full_no FROM every GROUP BY doc_id),
+raw_lines AS (SELECT doc_id, line_no, line FROM every JOIN ends USING (doc_id) WHERE line_no <= greatest(full_no, n - 4 - 1)),
+t AS (SELECT doc_id, line_no, trim({_LEGAL}) AS x, {_BOLD} AS bold, line_no = max(line_no) OVER (PARTITION BY doc_id) AS is_last FROM raw_lines),
+w AS (SELECT *, lower(x) AS low, len(regexp_split_to_array(x, '\\s+')) AS tokens FROM t),
+n AS (SELECT *, bold AND {has("low", *[p for _, p in legal.ARTICLES])} AS is_raw, {found} AS found FROM w),
+f AS (SELECT doc_id, line_no, bold, is_raw, starts_with(x, ':') AS colon,
+  CASE WHEN is_raw THEN CASE WHEN found IN ('mbere', 'one', 'premier') THEN 1 ELSE coalesce(TRY_CAST(found AS INTEGER), 0) END END AS num,
+  CASE WHEN is_raw THEN CASE found WHEN 'mbere' THEN 'rw' WHEN 'one' THEN 'en' WHEN 'premier' THEN 'fr' ELSE CASE WHEN {has("low", legal.ARTICLE_KINYARWANDA)} THEN 'rw' ELSE 'fe' END END END AS lang,
+  CASE WHEN line_no = 0 AND {has("low", legal.GAZETTE)} AND {has("low", legal.NUMBER_MARK)} AND ({has("low", legal.DATE)} OR ({has("low", legal.MONTH_ENGLISH)} AND {has("low", legal.YEAR)})) THEN 'gazette'
+    WHEN bold AND {has("low", legal.SECTION_KINYARWANDA, legal.SECTION_ENGLISH, legal.SECTION_FRENCH)} THEN 'section'
+    WHEN bold AND {has("x", legal.CHAPTER_KINYARWANDA, legal.CHAPTER_ENGLISH, legal.CHAPTER_FRENCH)} THEN 'chapter'
+    WHEN bold AND tokens < {legal.ORDER_TOKENS} AND {has("x", legal.ORDER_KINYARWANDA, legal.ORDER_ENGLISH, legal.ORDER_FRENCH)} THEN 'order'
+    WHEN tokens < {legal.DONE_TOKENS} AND ({has("low", legal.DONE_DATE)} OR ({has("low", legal.DONE_ON)} AND {has("low", legal.MONTH_ANY)} AND {has("low", legal.YEAR)})) THEN 'done'
+    WHEN {has("low", legal.SIGNATURE)} THEN 'signature' WHEN is_last AND {has("x", legal.PAGE)} THEN 'page' END AS other FROM n),
+r AS (
+  SELECT doc_id, line_no, is_raw AS title, false AS para, coalesce(num, 0) AS num, lang, CASE WHEN is_raw THEN 'title' ELSE coalesce(other, 'unknown') END AS class FROM f WHERE line_no = 0
+  UNION ALL
+  SELECT doc_id, line_no, title0 OR (goes_on AND ptitle AND colon), goes_on AND NOT (ptitle AND (colon OR bold)),
+    CASE WHEN goes_on THEN pnum ELSE coalesce(num, 0) END, CASE WHEN goes_on OR NOT is_raw OR takes THEN plang ELSE lang END,
+    CASE WHEN title0 OR (goes_on AND ptitle AND colon) THEN 'title' WHEN goes_on AND NOT (ptitle AND (colon OR bold)) THEN 'paragraph' ELSE coalesce(other, 'unknown') END
+  FROM (SELECT *, other IS NULL AND NOT title0 AND (ptitle OR ppara) AS goes_on FROM (
+    SELECT f.*, r.title AS ptitle, r.para AS ppara, r.num AS pnum, r.lang AS plang, f.is_raw AND NOT (r.title AND coalesce(f.num, 0) <> r.num + 1) AS title0,
+      coalesce(f.lang = 'fe' AND f.num <> 1 AND r.lang IN ('fr', 'en'), false) AS takes
+    FROM r JOIN f ON f.doc_id = r.doc_id AND f.line_no = r.line_no + 1)))
+SELECT doc_id, line_no, class, num AS number, lang FROM r"""
+
+
 ORACLE = {
+    "legal_lines": _legal_sql(),
     "beam_search": _beam_sql(),
     "surface_synthesis": """
 WITH w AS (SELECT o_orderkey, o_custkey % 3 AS wt, 13 - o_custkey % 3 * 3 AS stem_slot,
