@@ -89,7 +89,8 @@ def meanings(line: Column, most: int = 4) -> Column:
 
 def keyword_key(token: Column) -> Column:
     """Lower case; a trailing apostrophe of any kind stands for a dropped a."""
-    return F.regexp_replace(F.lower(token), "['’‘`]$", "a")
+    low = F.lower(token)
+    return F.when(F.right(low, F.lit(1)).isin("'", "’", "‘", "`"), F.concat(F.left(low, F.length(low) - 1), F.lit("a"))).otherwise(low)
 
 
 def parse_flag(value: Column) -> Column:

@@ -42,7 +42,7 @@ def rank_borders(cells: DataFrame, key: str, columns: int) -> DataFrame:
     return scored.withColumn("place", place.cast("bigint")).where(F.col("place") <= 4 * columns)
 
 
-def runs(rows: DataFrame, key: str, order: str, breaks: Column, name: str = "run") -> DataFrame:
+def runs(rows: DataFrame, key: str, order: str | list[str], breaks: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of each key: a new one begins at each row where ``breaks`` holds (null: it does not)."""
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_break", F.when(breaks, 1).otherwise(0)).withColumn(name, F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_break")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ranking import with_running
+
 
 def token_count(text: Column) -> Column:
     """Number of whitespace-separated tokens; null and blank text have none."""
@@ -18,7 +20,7 @@ def pair_by_rank(docs: DataFrame, left: str, right: str) -> DataFrame:
     Only the token counts travel: texts are reduced to their length before the ranking shuffle.
     """
     ranked = docs.where(F.col("lang").isin(left, right)).select("doc_id", "lang", "source", token_count(F.col("text")).alias("n_tokens"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("bigint"))
+    ranked = with_running(ranked, ["doc_id"], ["lang"])
     a = ranked.where(F.col("lang") == left).select("rank", F.col("doc_id").alias("left_id"), "source", F.col("n_tokens").alias("n_left"))
     b = ranked.where(F.col("lang") == right).select("rank", F.col("doc_id").alias("right_id"), F.col("n_tokens").alias("n_right"))
     return a.join(b, "rank")

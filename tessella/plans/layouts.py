@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import layout
+from tessella.operators.ranking import with_running
 from tessella.sources.tables import line_scan, table
 
 
@@ -36,11 +37,11 @@ def extents(spark: SparkSession, base: str) -> DataFrame:
 
 def run_break(spark: SparkSession, base: str) -> DataFrame:
     """Runs of a user's events: broken by another type, or by a gap of over six hours."""
-    w = Window.partitionBy("user_id").orderBy("ts")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     events = table(spark, base, "events").select("event_id", "user_id", "ts", "event_type")
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
     rows = events.withColumn("gap", gap).withColumn("before", F.lag("event_type").over(w))
-    found = layout.runs(rows, "user_id", "ts", (F.col("before") != F.col("event_type")) | (F.col("gap") > 6 * 3600 * 1000000))
+    found = layout.runs(rows, "user_id", ["ts", "event_id"], (F.col("before") != F.col("event_type")) | (F.col("gap") > 6 * 3600 * 1000000))
     return found.groupBy("user_id", "run").agg(F.count("*").cast("bigint").alias("n"), F.min("event_id").alias("first"))
 
 
@@ -79,13 +80,14 @@ def lexicon_islands(spark: SparkSession, base: str) -> DataFrame:
 
 def align_languages(spark: SparkSession, base: str) -> DataFrame:
     """One row for each rank, with the document of each language that has it."""
-    docs = table(spark, base, "documents").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("bigint").alias("rank"))
+    docs = with_running(table(spark, base, "documents").select("doc_id", "lang"), ["doc_id"], ["lang"])
     return docs.groupBy("rank").pivot("lang", ["en", "fr", "de", "es"]).agg(F.max("doc_id")).where("fr IS NOT NULL AND en IS NOT NULL")
 
 
 def prune_merge(spark: SparkSession, base: str) -> DataFrame:
     langs = "filter(array(IF(doc_id % 7 <> 0, 'rw', ''), 'en', IF(doc_id % 3 <> 0, 'fr', ''), IF(doc_id % 29 = 0, 'fe', '')), x -> x <> '')"
-    docs = table(spark, base, "documents").where("doc_id % 13 <> 5").selectExpr("doc_id div 60 AS section", "doc_id div 6 % 10 AS article", "doc_id % 6 + 1 AS paragraph", f"explode({langs}) AS lang", "'t' || doc_id AS text")
+    # every 13th document has its number moved by six, so that numbers are missing between paragraphs
+    docs = table(spark, base, "documents").selectExpr("doc_id div 60 AS section", "doc_id div 6 % 10 AS article", "doc_id % 6 + 1 + IF(doc_id % 13 = 5, 6, 0) AS paragraph", f"explode({langs}) AS lang", "'t' || doc_id AS text")
     return layout.prune_and_merge(docs)
 
 
@@ -120,8 +122,8 @@ WITH i AS (SELECT o_custkey % 5 AS page, o_orderkey * 37 % 600 AS x, o_orderkey
 SELECT page, min(x) AS min_x, max(end_x) AS max_x, round(avg(x % 7), 9) AS mean_h, min(x % 7) FILTER (x % 7 > 0) AS min_h FROM i GROUP BY page
 """,
     "run_break": """
-WITH b AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b)
+WITH b AS (SELECT *, CASE WHEN lag(event_type) OVER w <> event_type OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b)
 SELECT user_id, CAST(run AS BIGINT) AS run, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL
 """,
     "label_lines": _LINES
@@ -139,8 +141,8 @@ SELECT rank, max(doc_id) FILTER (lang = 'en') AS en, max(doc_id) FILTER (lang =
 FROM r GROUP BY rank HAVING count(*) FILTER (lang = 'fr') > 0 AND count(*) FILTER (lang = 'en') > 0
 """,
     "prune_merge": """
-WITH d AS (SELECT doc_id // 60 AS section, doc_id // 6 % 10 AS article, doc_id % 6 + 1 AS paragraph, 't' || doc_id AS text,
-  list_filter([CASE WHEN doc_id % 7 <> 0 THEN 'rw' END, 'en', CASE WHEN doc_id % 3 <> 0 THEN 'fr' END, CASE WHEN doc_id % 29 = 0 THEN 'fe' END], lambda x: x IS NOT NULL) AS langs FROM documents WHERE doc_id % 13 <> 5),
+WITH d AS (SELECT doc_id // 60 AS section, doc_id // 6 % 10 AS article, doc_id % 6 + 1 + CASE WHEN doc_id % 13 = 5 THEN 6 ELSE 0 END AS paragraph, 't' || doc_id AS text,
+  list_filter([CASE WHEN doc_id % 7 <> 0 THEN 'rw' END, 'en', CASE WHEN doc_id % 3 <> 0 THEN 'fr' END, CASE WHEN doc_id % 29 = 0 THEN 'fe' END], lambda x: x IS NOT NULL) AS langs FROM documents),
 j AS (SELECT d.*, len(d.langs) AS n, len(h.langs) AS hn, list_contains(d.langs, 'fe') AS fe,
   coalesce(len(h.langs) >= 2 AND list_contains(h.langs, 'rw') AND NOT list_contains(h.langs, 'fe'), false) AS ok
   FROM d LEFT JOIN d h ON h.section = d.section AND h.article = d.article AND h.paragraph = 1),

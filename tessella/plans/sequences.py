@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sequences, text
 from tessella.operators import batching
+from tessella.operators.ranking import with_running
 from tessella.sources.tables import table
 
 
@@ -60,8 +61,8 @@ def token_roundtrip(spark: SparkSession, base: str) -> DataFrame:
 def pack_offsets(spark: SparkSession, base: str) -> DataFrame:
     """Half-open ranges of each document in the packed ids of its source."""
     docs = _docs(spark, base).select("doc_id", "source", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n"))
-    end = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.select("doc_id", "source", (end - F.col("n")).alias("start"), end.alias("end"))
+    ended = with_running(docs, ["doc_id"], ["source"], F.col("n"), "end")
+    return ended.select("doc_id", "source", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
 def _lengths(spark: SparkSession, base: str) -> DataFrame:
@@ -109,16 +110,17 @@ def token_stats(spark: SparkSession, base: str) -> DataFrame:
 
 def token_pct_rank(spark: SparkSession, base: str) -> DataFrame:
     """The percentile of each token, most frequent first, as the order of a statistics file gives it."""
-    s = _stats(spark, base).select("token", "total")
-    rank = F.row_number().over(Window.orderBy(F.desc("total"), "token")) - 1
-    return s.select("token", F.floor(100 * rank / F.count("*").over(Window.partitionBy())).cast("bigint").alias("pct_rank"))
+    s = _stats(spark, base).select("token", (-F.col("total")).alias("down"))
+    share = 100 * (F.col("rank") - 1) / F.lit(s.count())
+    return with_running(s, ["down", "token"]).select("token", F.floor(share).cast("bigint").alias("pct_rank"))
 
 
 def tfidf_keywords(spark: SparkSession, base: str) -> DataFrame:
     """The three best keywords of each document: augmented tf times ln(1e6 / (1 + docs))."""
     each = _docs(spark, base).select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
     tf = each.groupBy("doc_id", text.keyword_key(F.col("w")).alias("term")).agg(F.count("*").alias("f"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("docs"))
+    # counting by f keeps both sides' plans alike, so that the counts by document and term are shuffled once
+    idf = tf.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("docs"))
     tf = tf.withColumn("top", F.max("f").over(Window.partitionBy("doc_id")))
     scored = tf.join(idf, "term").withColumn("score", F.round((0.5 + 0.5 * F.col("f") / F.col("top")) * F.log(1e6 / (1 + F.col("docs"))), 9))
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))
@@ -128,9 +130,9 @@ def tfidf_keywords(spark: SparkSession, base: str) -> DataFrame:
 def shard_ranges(spark: SparkSession, base: str) -> DataFrame:
     """Rows per shard when ceil(total / 7) consecutive orders go to each."""
     orders = table(spark, base, "orders").select("o_orderkey")
-    size = F.ceil(F.count("*").over(Window.partitionBy()) / 7)
-    numbered = orders.select(F.row_number().over(Window.orderBy("o_orderkey")).alias("row"), size.alias("size"), "o_orderkey")
-    shard = F.floor((F.col("row") - 1) / F.col("size")).cast("bigint")
+    size = max(1, -(-orders.count() // 7))
+    numbered = with_running(orders, ["o_orderkey"], name="row")
+    shard = F.floor((F.col("row") - 1) / size).cast("bigint")
     return numbered.groupBy(shard.alias("shard")).agg(F.count("*").cast("bigint").alias("n"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import generate, numbers, text
 from tessella.functions.detokenise import detokenised
+from tessella.operators.ranking import with_running
 from tessella.operators.translate import lexicon_model, translate
 from tessella.sources.tables import line_scan, table
 
@@ -62,8 +63,11 @@ def section_quality(spark: SparkSession, base: str) -> DataFrame:
     """Sections of 8 tokens or more, at least 0.4 of them known; known: seen in ten documents or more."""
     words = _docs(spark, base).select("doc_id", text.collapse_dots(text.tokens(F.expr(_DOTTED))).alias("words"))
     each = words.select("doc_id", F.explode("words").alias("word"))
-    known = each.groupBy("word").agg(F.count_distinct("doc_id").alias("score")).where("score >= 10")
-    good = each.join(known, "word", "left").groupBy("doc_id").agg(F.count("*").cast("bigint").alias("n_tokens"), F.count("score").cast("bigint").alias("n_known"))
+    # one row for each document and word; counting by n keeps both uses' plans alike, so that they share one shuffle
+    counts = each.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    known = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("score")).where("score >= 10")
+    n_known = F.coalesce(F.sum(F.when(F.col("score").isNotNull(), F.col("n"))), F.lit(0))
+    good = counts.join(known, "word", "left").groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("n_tokens"), n_known.cast("bigint").alias("n_known"))
     return good.where("n_tokens >= 8 AND n_known / n_tokens >= 0.4")
 
 
@@ -96,9 +100,9 @@ def meaning_clean(spark: SparkSession, base: str) -> DataFrame:
 
 
 def dictionary_product(spark: SparkSession, base: str) -> DataFrame:
-    """Every headword with every meaning of its entry."""
+    """Every headword with every meaning of its entry: the first two words with each of the others."""
     words = text.tokens(F.col("text"))
-    entry = _docs(spark, base).select("doc_id", F.slice(words, 1, 2).alias("heads"), F.slice(words, 3, 3).alias("means"))
+    entry = _docs(spark, base).select("doc_id", F.slice(words, 1, 2).alias("heads"), F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))).alias("means"))
     return entry.select("doc_id", F.explode("heads").alias("head"), "means").select("doc_id", "head", F.explode("means").alias("meaning"))
 
 
@@ -121,7 +125,7 @@ def word_split_candidates(spark: SparkSession, base: str) -> DataFrame:
     """For each long word the split into two known words with the lowest sum of ranks."""
     words = _docs(spark, base).select(F.explode(text.tokens(F.col("text"))).alias("w")).where(F.rlike("w", F.lit("^[a-z]+$")))
     ranked = words.groupBy("w").agg(F.count("*").alias("n")).where("n >= 5")
-    ranked = ranked.select("w", F.row_number().over(Window.orderBy(F.desc("n"), "w")).cast("bigint").alias("rank"))
+    ranked = with_running(ranked.select("w", (-F.col("n")).alias("down")), ["down", "w"]).select("w", "rank")
     cut = ranked.where(F.length("w") >= 4).select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("k"))
     cut = cut.select("w", "k", F.expr("substring(w, 1, k)").alias("a"), F.expr("substring(w, k + 1)").alias("b"))
     left = ranked.select(F.col("w").alias("a"), F.col("rank").alias("ra"))
@@ -307,7 +311,7 @@ SELECT doc_id, array_to_string(CASE WHEN len({_words("parts[1]")}) <= 4 THEN
 """,
     "dictionary_product": f"""
 WITH w AS (SELECT doc_id, {_words("text")} AS a FROM documents)
-SELECT doc_id, head, unnest(a[3:5]) AS meaning FROM (SELECT doc_id, a, unnest(a[1:2]) AS head FROM w)
+SELECT doc_id, head, unnest(a[3:]) AS meaning FROM (SELECT doc_id, a, unnest(a[1:2]) AS head FROM w)
 """,
     "number_speller": _spell_sql(),
     "uri_idempotent": "SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)",
