@@ -30,9 +30,11 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a private one only where unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir; on one machine, where it is unset, a private one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tessella-shared-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -41,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: later jobs and lost executors
-    find it there instead of computing it once more. ``options`` are the parquet writer's."""
+    find it there instead of computing it once more. ``options`` are the parquet writer's. Results read it
+    lazily, so it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
