@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import assembly, decoding, evaluation, layouts, pagework, pairs, records, search, sequences, texts
+from tessella.plans import assembly, decoding, evaluation, glyphs, layouts, pagework, pairs, records, search, sequences, texts
 
-FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search]
+FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search, glyphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
