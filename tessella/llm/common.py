@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -87,7 +88,25 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     ship_code(spark)
     if spark.conf.get(ARROW_ROWS, "10000") == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    """Returns a worker's free memory to the system: workers outlive their tasks, and what they keep adds up.
+    Arrays of a megabyte or more are to go as soon as they are dropped (glibc's option -3)."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
 
 
 def by_chars(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:

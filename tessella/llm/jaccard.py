@@ -28,7 +28,7 @@ SHINGLE = 5
 NUM, DEN = 3, 4  # the least similarity, as a fraction
 FREQUENT = 20_000  # n-grams dealt by set instead of by n-gram, as one task could not hold their sets; they change no result
 SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it may be one of them
-POSTINGS_AT_ONCE = 1_500_000  # n-grams of sets in one fragment
+POSTINGS_AT_ONCE = 1_000_000  # n-grams of sets in one fragment
 LEAST_FRAGMENTS = 64
 PARTS = 8  # vertical fragments in which overlaps are counted
 CHARS_AT_ONCE = 1_000_000
@@ -196,21 +196,27 @@ def _shared(packed: DataFrame, frequent, fragments: int) -> DataFrame:
             size = np.concatenate([_unplanes(r[3], "<u4")[o] for r, o in zip(rows, owners)])
             del owners
             order = np.lexsort((node, token))
-            token, node, size = token[order], node[order], size[order]
+            token = token[order]  # one after the other, so that only one is held twice
+            node = node[order]
+            size = size[order]
+            del order, rows
             once = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))  # copies from elsewhere go
-            token, node, size = token[once], node[once], size[once]
+            token = token[once]
+            node = node[once]
+            size = size[once]
             starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             width = np.diff(np.concatenate((starts, [len(token)])))
             often = np.repeat(np.minimum(width, _OFTEN - 1), width) if part >= 0 else frequent.value.of(token)
             kept = np.flatnonzero(often > 1)
             if not len(kept):
                 continue
-            bucket = _dealt(node[kept], fragments)
-            order = np.argsort(bucket, kind="stable")
-            kept, bucket = kept[order], bucket[order]
+            often, token, node, size = often[kept].astype(np.uint32), token[kept], node[kept], size[kept]
+            bucket = _dealt(node, fragments)
+            kept = np.argsort(bucket, kind="stable")
+            bucket = bucket[kept]
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             parts = np.split(kept, starts[1:])
-            yield _batch(fields, [bucket[starts].astype(np.int32), *[[_planes(x[k]) for k in parts] for x in (token, node, size, often.astype(np.uint32))]])
+            yield _batch(fields, [bucket[starts].astype(np.int32), *[[_planes(x[k]) for k in parts] for x in (token, node, size, often)]])
 
     dealt = packed.repartition(fragments, "part").sortWithinPartitions("part")
     return map_batches(dealt, run, "bucket int, tokens binary, nodes binary, sizes binary, often binary")
