@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, chat, contamination, jaccard, neighbours, quality, repeats, secrets, sharding, toxicity
+from tessella.llm import bpe, chat, contamination, divergence, jaccard, negatives, neighbours, quality, repeats, secrets, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_ann": neighbours.op9_ann,
         "op10_suffix_array_dedup": repeats.op10_suffix_array_dedup,
+        "op11_source_divergence": divergence.op11_source_divergence,
+        "op12_simhash": simhash.op12_simhash,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -31,4 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": jaccard.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op9_ann": neighbours.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
     }
