@@ -1,7 +1,8 @@
 """Positions and running sums over a whole table, without one task that orders all of it.
 
-Rows are dealt to ranges of the order by bounds drawn from the rows themselves. Each range is ordered in its own
-task, and starts where the ranges before it end; only one count or sum of every range meets in one place.
+The input is written once. Its rows are dealt to ranges of the order by Spark's range partitioning and written with the
+number of their range; each range is ordered in its own task, and starts where the ranges before it end. Only one
+count or sum of every range meets in one place.
 """
 
 from __future__ import annotations
@@ -9,32 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges, 256 at most, as each row is compared with every bound.
-MOST_RANGES = 256
-#: Rows drawn for each range; they go to the driver.
-DRAWN = 32
+from tessella.runtime import bytes_of, cut
 
+RANGE_BYTES = 32_000_000  # of a range as it is written
 
-def range_bounds(df: DataFrame, order: list[str], ranges: int) -> list:
-    """Up to ``ranges`` - 1 rows of ``df`` that cut its order into stretches of about equal length.
-
-    The rows drawn are those with the smallest hashes, so the same table always gives the same bounds.
-    """
-    drawn = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(DRAWN * ranges)
-    rows = drawn.orderBy(*order).collect()
-    step = len(rows) / ranges
-    return [rows[int(k * step)] for k in range(1, ranges)] if len(rows) >= ranges else rows
 
+def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None, name: str = "range") -> DataFrame:
+    """``df`` with the number of the range that a row's place in the order falls into; nulls come first.
 
-def with_range(df: DataFrame, order: list[str], ranges: int | None = None, name: str = "range") -> DataFrame:
-    """``df`` with the number of the range that a row's place in the order falls into; nulls come first."""
-    wanted = ranges or min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    bounds = range_bounds(df, order, wanted) if wanted > 1 else []
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    cut = F.array(*[F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order]) for row in bounds])
-    return df.withColumn(name, F.size(F.filter(cut, lambda b: b <= F.struct(*order))))
+    Ranges are as many as the bytes ask for, and at least as many as shuffle partitions. Rows that ``order`` does not
+    tell apart share a range. Which range a row falls into is decided once: the result is a written table.
+    """
+    held = cut(df, "ranked")
+    wanted = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(held) // RANGE_BYTES))
+    return cut(held.repartitionByRange(wanted, *order).withColumn(name, F.spark_partition_id()), "ranged")
 
 
 def with_running(df: DataFrame, order: list[str], by: list[str] | None = None, weight: Column | None = None, name: str = "rank", ranges: int | None = None) -> DataFrame:
@@ -44,7 +33,7 @@ def with_running(df: DataFrame, order: list[str], by: list[str] | None = None, w
     ``order`` does not tell apart get different numbers in no fixed order. An empty table stays empty.
     """
     key = [*(by or []), "_range"]
-    ranged = with_range(df.withColumn("_weight", F.lit(1).cast("bigint") if weight is None else weight), order, ranges, "_range")
+    ranged = with_ranges(df.withColumn("_weight", F.lit(1).cast("bigint") if weight is None else weight), [*(by or []), *order], ranges, "_range")
     sums = ranged.groupBy(*key).agg(F.sum("_weight").alias("_sum"))
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sequences, text
 from tessella.functions.detokenise import detokenised
+from tessella.operators.ranking import with_running
 from tessella.plans.texts import detokenise_sql
 from tessella.sources.tables import table
 
@@ -93,7 +94,7 @@ def batch_assembly(spark: SparkSession, base: str) -> DataFrame:
 def single_batches(spark: SparkSession, base: str) -> DataFrame:
     """Validation batches: every row is its own, in the order of its length and id."""
     rows = table(spark, base, "benchmark").select("item_id", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n"))
-    return rows.select((F.row_number().over(Window.orderBy("n", "item_id")) - 1).cast("bigint").alias("batch"), "item_id", "n")
+    return with_running(rows, ["n", "item_id"], name="row").select((F.col("row") - 1).alias("batch"), "item_id", "n")
 
 
 def surface_pieces(spark: SparkSession, base: str) -> DataFrame:

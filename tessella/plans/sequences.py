@@ -10,6 +10,8 @@ from tessella.operators import batching
 from tessella.operators.ranking import with_running
 from tessella.sources.tables import table
 
+EPOCH = 7  # seed of the registered epoch
+
 
 def _ids() -> Column:
     """Stand-in token ids of a whole text: word lengths, spread by place."""
@@ -79,6 +81,12 @@ def bucket_mark(spark: SparkSession, base: str) -> DataFrame:
     return rows.groupBy("source", "bucket").agg(F.count("*").cast("bigint").alias("n_rows"), F.min("n").cast("bigint").alias("least"), F.max("n").cast("bigint").alias("most"))
 
 
+def shuffled_batches(spark: SparkSession, base: str) -> DataFrame:
+    """One epoch: five buckets by length in each source, shuffled inside; batches of them, shuffled; the open last one goes."""
+    rows = batching.shuffled_batches(_lengths(spark, base), "source", "n", "doc_id", 5, 2048, EPOCH)
+    return rows.groupBy("source", "place", "batch").agg(F.count("*").cast("bigint").alias("n_rows"), F.sum("n").cast("bigint").alias("n_tokens"), F.min("bucket").alias("first_bucket"), F.min("doc_id").alias("least"))
+
+
 def corpus_union_repeat(spark: SparkSession, base: str) -> DataFrame:
     """Training rows with the lexical source three times; a source repeated 0 times goes."""
     repeat = F.when(F.col("source") == "src1", 3).when(F.col("source") == "src2", 0).otherwise(1)
@@ -142,7 +150,7 @@ def resume_antijoin(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
-QUERIES = {f.__name__: f for f in (wrap_truncate, pad_mask, causal_mask, multi_hot, ragged_split, token_roundtrip, pack_offsets, token_budget_batches, bucket_mark, corpus_union_repeat, token_stats, token_pct_rank, tfidf_keywords, shard_ranges, resume_antijoin)}
+QUERIES = {f.__name__: f for f in (wrap_truncate, pad_mask, causal_mask, multi_hot, ragged_split, token_roundtrip, pack_offsets, token_budget_batches, bucket_mark, shuffled_batches, corpus_union_repeat, token_stats, token_pct_rank, tfidf_keywords, shard_ranges, resume_antijoin)}
 
 _W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 _V = f"list_transform({_W}, lambda x, i: length(x) * 7 + i - 1)"
@@ -212,6 +220,29 @@ SELECT doc_id, source, CAST(sum(n) OVER w - n AS BIGINT) AS start, CAST(sum(n) O
     "bucket_mark": _FOLD.format(size="(r.total // 5 + 1)")
     + """, ended AS (SELECT *, greatest(max(batch) OVER (PARTITION BY source) - 1, 0) AS last FROM fold)
 SELECT source, least(batch, last) AS bucket, count(*) AS n_rows, min(n) AS least, max(n) AS most FROM ended GROUP BY ALL""",
+    "shuffled_batches": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, n, row_number() OVER (PARTITION BY source ORDER BY n, doc_id) AS k, sum(n) OVER (PARTITION BY source) // 5 + 1 AS size
+  FROM (SELECT doc_id, source, len({_W}) AS n FROM documents)
+), fold AS (
+  SELECT source, doc_id, k, n, CAST(0 AS BIGINT) AS batch, CAST(n AS BIGINT) AS held FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.source, r.doc_id, r.k, r.n, CASE WHEN held > 0 AND held + r.n > size THEN batch + 1 ELSE batch END, CASE WHEN held > 0 AND held + r.n > size THEN r.n ELSE held + r.n END
+  FROM fold f JOIN r ON r.source = f.source AND r.k = f.k + 1
+), marked AS (SELECT source, doc_id, n, least(batch, greatest(max(batch) OVER (PARTITION BY source) - 1, 0)) AS bucket FROM fold),
+s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, md5(concat_ws(':', '{EPOCH}', CAST(doc_id AS VARCHAR))), doc_id) AS k FROM marked),
+again AS (
+  SELECT source, doc_id, k, n, bucket, CAST(0 AS BIGINT) AS batch, CAST(n AS BIGINT) AS held FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.source, s.doc_id, s.k, s.n, s.bucket, CASE WHEN held > 0 AND held + s.n > 2048 THEN batch + 1 ELSE batch END, CASE WHEN held > 0 AND held + s.n > 2048 THEN s.n ELSE held + s.n END
+  FROM again f JOIN s ON s.source = f.source AND s.k = f.k + 1
+), b AS (
+  SELECT source, batch, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS n_tokens, min(bucket) AS first_bucket, min(doc_id) AS least, max(batch) OVER (PARTITION BY source) AS last
+  FROM again GROUP BY source, batch
+)
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '{EPOCH}', source, CAST(batch AS VARCHAR))), batch) AS place, batch, n_rows, n_tokens, first_bucket, least
+FROM b WHERE batch < last
+""",
     "corpus_union_repeat": """
 SELECT source, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs FROM (
   SELECT source, doc_id FROM documents WHERE source <> 'src2' UNION ALL

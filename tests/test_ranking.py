@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessella.operators.ranking import range_bounds, with_running
+from tessella.operators.ranking import with_ranges, with_running
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 40])
@@ -31,9 +31,8 @@ def test_empty_table_and_few_rows(spark):
     assert [r["rank"] for r in with_running(spark.createDataFrame([(5,)], "a long"), ["a"], ranges=4).collect()] == [1]
 
 
-def test_bounds_cut_evenly_and_are_always_the_same(spark):
-    df = spark.range(20000).select(F.col("id").alias("a"))
-    bounds = [r["a"] for r in range_bounds(df, ["a"], 8)]
-    assert bounds == [r["a"] for r in range_bounds(df.repartition(5), ["a"], 8)] and len(bounds) == 7
-    edges = [0, *bounds, 20000]
-    assert max(b - a for a, b in zip(edges, edges[1:])) < 5000
+def test_ranges_follow_the_order_and_are_even(spark):
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("a"))
+    found = with_ranges(df.repartition(5), ["a"], 8).groupBy("range").agg(F.min("a").alias("a"), F.max("a").alias("b"), F.count("*").alias("n")).orderBy("range").collect()
+    assert len(found) == 8 and max(r["n"] for r in found) < 5000
+    assert all(x["b"] < y["a"] for x, y in zip(found, found[1:]))
