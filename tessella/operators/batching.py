@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.operators.ranking import with_running
-from tessella.operators.scan import starting_states
+from tessella.operators.scan import counting_states
 from tessella.runtime import cut, ship_code
 
 STRETCH = 4_096  # rows
@@ -108,8 +108,8 @@ def token_budget_batches(rows: DataFrame, key: str, length: str, order: list[str
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["_rows", "batches"])
 
     narrow = packed.select("_key", F.col("_seq").alias("seq"), F.transform("_rows", lambda r: F.struct(r["pos"], r["n"])).alias("lengths"))
-    fns = cut(narrow.mapInArrow(functions, T.StructType([packed.schema["_key"], *_FUNCTION])), "batch-functions")
-    states = starting_states(fns, ["_key"]).select(F.col("_key").alias("_k"), "seq", "state", "count")
+    fns = narrow.mapInArrow(functions, T.StructType([packed.schema["_key"], *_FUNCTION])).select("_key", "seq", F.struct("next", "counts").alias("fn"))
+    states = counting_states(cut(fns, "batch-functions"), ["_key"]).select(F.col("_key").alias("_k"), "seq", "state.state", "state.count")
     met = packed.join(states, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_seq") == F.col("seq"))).select("_rows", "state", "count")
     out = met.mapInArrow(numbers, T.StructType([packed.schema["_rows"], T.StructField("batches", T.ArrayType(T.LongType()))]))
     out = out.select(F.inline(F.arrays_zip("_rows", "batches"))).select("_rows.row.*", F.col("batches").alias("batch"))
