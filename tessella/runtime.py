@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _private: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Puts the package on the workers' path, even if the session began before it was on the driver's."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    """Sends this package to the executors, once for each application, so that Python workers can import it anywhere."""
+    own = spark.sparkContext.applicationId
+    if own not in _shipped:
+        folder = tempfile.mkdtemp(prefix="tessella-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tessella-{own}", "zip", ROOT, "tessella"))
+        _shipped.add(own)
 
 
 def shared_dir(spark: SparkSession) -> str:
