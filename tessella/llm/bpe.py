@@ -18,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import by_chars, map_batches, table, texts
+from tessella.llm.common import by_chars, map_batches, ship_file, table, texts
 
 PIECE_CACHE_BYTES = 24_000_000  # of remembered pieces with their ids, in each worker; longer pieces are not kept
 LONGEST_KEPT = 100  # code points of a piece that is remembered
@@ -334,11 +335,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
     nothing. Texts of any length are streamed row by row; repeated rows are each encoded; an empty
     table gives no rows; other columns are ignored. Nothing is shuffled.
     """
-    path = path or vocabulary()
+    name = ship_file(docs.sparkSession, path or vocabulary())
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         try:
             for batch in by_chars(batches, 1, CHARS_AT_ONCE):
                 n, a, b, lists = [], [], [], []

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import by_chars, map_batches, table, texts
+from tessella.llm.common import by_chars, map_batches, ship_file, table, texts
 
 #: Marks of the template, in the order of their reserved ids (from the vocabulary's end on).
 MARKS = ("<|turn|>", "<|header|>", "<|end|>")
@@ -93,10 +94,10 @@ def format_turns(conversations: DataFrame, path: str | None = None) -> DataFrame
     each formatted; very long texts are one turn; an empty table gives no rows; other columns are
     ignored. Turns are independent, so nothing is shuffled and no conversation is held together.
     """
-    path = path or _vocabulary()
+    name = ship_file(conversations.sparkSession, path or _vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(SparkFiles.get(name))
         for batch in by_chars(batches, 3, CHARS_AT_ONCE):
             roles = texts(batch.column(2))
             ids, masks = zip(*own.assemble(roles, texts(batch.column(3)))) if batch.num_rows else ((), ())
@@ -115,10 +116,10 @@ def read_back(turns: DataFrame, path: str | None = None) -> DataFrame:
     so a conversation of any length takes the memory of one batch. Turns without an id form one
     conversation with a null id.
     """
-    path = path or _vocabulary()
+    name = ship_file(turns.sparkSession, path or _vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows, now = codec(path), [], None
+        own, rows, now = codec(SparkFiles.get(name)), [], None
 
         def fresh(conv):
             return {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": 0}

@@ -1,12 +1,9 @@
-"""What the operators of this part share: reading, cutting lineage, shipping code to workers."""
+"""What the operators of this part share: reading, cutting lineage, batches of bounded size."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -15,43 +12,39 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tessella.runtime import gone_at_end, shared_dir, ship_code
 
+__all__ = ["by_chars", "cut", "drop", "map_batches", "shared_dir", "ship_code", "ship_file", "shuffles_freed", "table", "texts", "unused", "written"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package even if the session began before it was on the path."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to the executors; ``SparkFiles.get`` finds it in a worker by the name that this returns."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; on one machine, where it is unset, a private one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="tessella-shared-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again: later jobs and lost executors
-    find it there instead of computing it once more. ``options`` are the parquet writer's. Results read it
-    lazily, so it goes when the application ends."""
+def written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read again, and its path. ``options`` are the parquet writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    gone_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``written``: later jobs and lost executors find the table there instead of computing it once more. Results
+    read it lazily, so it goes when the application ends."""
+    return written(df, name, **options)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,12 +53,12 @@ FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """While it holds, the shuffle files of a written table go once it is written, not with the driver's garbage."""
-    before = spark.conf.get(FREE, "false")
+    before = spark.conf.get(FREE, None)
     spark.conf.set(FREE, "true")
     try:
         yield
     finally:
-        spark.conf.set(FREE, before)
+        spark.conf.unset(FREE) if before is None else spark.conf.set(FREE, before)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -76,23 +69,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_AT_ONCE = 1_000
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers, and batches small enough for long texts.
-
-    The batch size is the session's; it is lowered only where it stands at Spark's default.
-    """
-    spark = df.sparkSession
-    ship_code(spark)
-    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with this package importable in the workers. Spark bounds a batch's bytes (64 MB unless the session
+    says otherwise); ``fn`` gets ``ROWS_AT_ONCE`` rows of it at a time, and cuts what needs less with ``by_chars``."""
+    ship_code(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _give_back()
         try:
-            yield from fn(batches)
+            yield from fn(b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
         finally:
             _give_back()
 

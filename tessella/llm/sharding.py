@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut, shared_dir, shuffles_freed, table, unused
+from tessella.runtime import gone_at_end
 
 SHARDS = 40
 SEED = 20_011
@@ -102,6 +103,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard and slot, under the law ``rows``, as the written shards have them."""
     docs = table(spark, sf_dir, "documents")
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    gone_at_end(spark, path)
     write_shards(docs, path)
     kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "text"))
     written = spark.read.schema(f"{kept}, slot bigint, shard int").parquet(path)
