@@ -1,11 +1,11 @@
 """Exact Jaccard join on word n-grams by vertical partitioning, down to connected classes.
 
-All n-grams have one global order, the least frequent first, and are cut into vertical fragments by
-their hashes. Each fragment counts in how many sets each of its n-grams occurs and drops those that one
-set alone holds: they come first in the order and no pair shares them. What is left of each set is put
-together again; a set with too few shared n-grams links with nothing. The others' prefixes (sets that
-link share an n-gram of their prefixes, at places that leave room for enough overlap) give candidate
-pairs, and the overlaps of each pair are counted fragment by fragment and summed. Equal sets are folded
+All n-grams have one global order, the least frequent first. To find it, they are dealt by their hashes; each
+share counts in how many sets each of its n-grams occurs and drops those that one set alone holds: they come first
+in the order and no pair shares them. What is left of each set is put together again; a set with too few shared
+n-grams links with nothing. The others' prefixes (sets that link share an n-gram of their prefixes, at places that
+leave room for enough overlap) give candidate pairs. For those, the global order is cut into vertical fragments at
+fixed frequencies, and the overlaps of each pair are counted fragment by fragment and summed. Equal sets are folded
 first; of a group that shares an n-gram each set first meets the group's most central one only, and then
 sets of different classes meet, so a group of near copies costs no square and yet no link between
 classes is lost.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import by_chars, cut, map_batches, shuffles_freed, table, unused
-from tessella.llm.repeats import Hashes
+from tessella.llm.repeats import _mix
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # the least similarity, as a fraction
@@ -30,24 +30,45 @@ FREQUENT = 20_000  # n-grams dealt by set instead of by n-gram, as one task coul
 SEEN_OFTEN = 5  # documents of one batch that share an n-gram, from which it may be one of them
 POSTINGS_AT_ONCE = 1_000_000  # n-grams of sets in one fragment
 LEAST_FRAGMENTS = 64
-PARTS = 8  # vertical fragments in which overlaps are counted
+#: Vertical fragments in which overlaps are counted: the global order cut at these frequencies.
+EDGES = (3, 4, 6, 10, 20, 60, 300)
+PARTS = len(EDGES) + 1
+PAIRS_AT_ONCE = 5_000  # pairs of one set from which its list is dealt to several tasks
 CHARS_AT_ONCE = 1_000_000
+WORDS_REMEMBERED = 100_000  # words whose hashes a worker keeps
 NAMES_AT_ONCE = 200_000  # sets that a task remembers, so as not to send copies twice
 _OFTEN = 1 << 30  # frequencies from here on are places among the frequent n-grams
 
 
+_WORDS: dict[bytes, int] = {}  # hashes of words that a worker has seen
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of a cryptographic hash of each word, so that no pattern of letters can make two words alike."""
+    if len(_WORDS) > WORDS_REMEMBERED:
+        _WORDS.clear()
+    for w in set(words):
+        if w not in _WORDS:
+            _WORDS[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+
+
+def _n_grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every ``size`` neighbours, in order, from their hashes."""
+    n = max(len(words) - size + 1, 0)
+    h = np.full(n, size, np.uint64)
+    for k in range(size):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + words[k : n + k])
+    return h
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's word n-grams; all words as one n-gram if they are fewer."""
     words = [t.lower().split() for t in texts]
-    data = np.frombuffer(b" " + b" ".join(b" ".join(w) for w in words if w) + b" ", np.uint8)
-    space = np.flatnonzero(data == 32)
-    hashes, at, out = Hashes(data, 0), 0, []
+    hashed = _word_hashes([w for own in words for w in own])
+    every, at, out = _n_grams(hashed, size), 0, []
     for n in map(len, words):
-        if not n:
-            out.append(np.empty(0, np.uint64))
-            continue
-        k = min(n, size)
-        out.append(np.unique(hashes.of(space[at : at + n - k + 1] + 1, space[at + k : at + n + 1])))
+        out.append(np.unique(every[at : at + n - size + 1] if n >= size else _n_grams(hashed[at : at + n], n)) if n else np.empty(0, np.uint64))
         at += n
     return out
 
@@ -229,7 +250,6 @@ def _candidates(shared: DataFrame, fragments: int) -> DataFrame:
     """A row for each set with shared n-grams enough to link: its size, how often its n-grams occur on average (as a
     logarithm), the shared ones in its prefix with their places in the order, and all shared ones by vertical fragment."""
     fields = [("node", pa.int64()), ("n", pa.int64()), ("central", pa.float64()), ("prefix", pa.list_(pa.struct([("t", pa.int64()), ("pos", pa.int32())]))), ("parts", pa.list_(pa.list_(pa.int64())))]
-    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
@@ -246,8 +266,7 @@ def _candidates(shared: DataFrame, fragments: int) -> DataFrame:
                 first = token[a : a + max(prefix_length(n) - alone, 0)].view(np.int64).tolist()
                 if not first:
                     continue
-                own = np.sort(token[a:b])
-                lists = np.split(own.view(np.int64), np.searchsorted(own, edges))
+                lists = np.split(token[a:b].view(np.int64), np.searchsorted(often[a:b], EDGES))
                 row = (int(node[a]), n, float(np.log2(often[a:b].astype(np.float64)).sum() / n), [{"t": t, "pos": alone + k} for k, t in enumerate(first)], lists)
                 for column, x in zip(out, row):
                     column.append(x)
@@ -273,12 +292,21 @@ def _pair(a, b):
 
 
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b, n_a, n_b) whose overlap, summed over the fragments, reaches the similarity."""
-    lists = sets.select("node", F.posexplode("parts").alias("part", "tokens"))
+    """The pairs (a, b, n_a, n_b) whose overlap, summed over the fragments, reaches the similarity.
+
+    A set that is in very many pairs is copied, and its pairs are dealt to the copies.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).cast("int").alias("copies"))
+    hot = cut(ends.where("copies > 1"), "jaccard-hot")
+    copies = lambda c: F.coalesce(c, F.lit(1))
+    lists = sets.select("node", "parts").join(hot, "node", "left").select("node", F.explode(F.sequence(F.lit(0), copies(F.col("copies")) - 1)).alias("copy"), "parts")
+    lists = lists.select("node", "copy", F.posexplode("parts").alias("part", "tokens"))
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = pairs.join(hot.select(F.col("node").alias(end), F.col("copies").alias(f"copies_{end}")), end, "left").withColumn(f"copy_{end}", F.pmod(F.xxhash64(other), copies(F.col(f"copies_{end}"))).cast("int"))
     asked = pairs.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
-    left = lists.select(F.col("node").alias("a"), "part", F.col("tokens").alias("x"))
-    right = lists.select(F.col("node").alias("b"), "part", F.col("tokens").alias("y"))
-    partial = asked.join(left, ["a", "part"]).join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("k"))
+    left = lists.select(F.col("node").alias("a"), F.col("copy").alias("copy_a"), "part", F.col("tokens").alias("x"))
+    right = lists.select(F.col("node").alias("b"), F.col("copy").alias("copy_b"), "part", F.col("tokens").alias("y"))
+    partial = asked.join(left, ["a", "copy_a", "part"]).join(right, ["b", "copy_b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("k"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
     return cut(total.where(DEN * F.col("k") >= NUM * (F.col("n_a") + F.col("n_b") - F.col("k"))).select("a", "b"), "jaccard-links")
 

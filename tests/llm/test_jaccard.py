@@ -98,3 +98,21 @@ def test_keep_one_leaves_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x", 7), (2, "A b c", 6, "y", 8), (3, None, 7, "z", 9)], "doc_id long, text string, id int, hash string, th int")
     got = {tuple(r) for r in jaccard.keep_one(docs).collect()}
     assert got == {(1, "a b c", 5, "x", 7), (3, None, 7, "z", 9)}
+
+
+def test_texts_of_one_pattern_are_told_apart(spark):
+    """Words of the Thue-Morse pattern, which polynomial hashes modulo a power of two confuse."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "one two three four " + word), (2, "one two three four " + other), (3, word), (4, other), (5, f"{word} {other} x y z"), (6, f"{other} {word} x y z")]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(k, 1, k) for k in range(1, 7)]
+
+
+def test_a_set_in_very_many_pairs_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 3)
+    rows = corpus(11)
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got) == brute(rows)
