@@ -149,12 +149,25 @@ def _absent() -> Iterator[int]:
         yield -1
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one block on the driver at a time.
 
-    The number of blocks comes from the table's own size, so a benchmark of any size is taken whole.
+    The number of blocks comes from the table's own size, so a benchmark of any size is taken whole. An item of more
+    than a quarter of a block is cut into stretches that share ``window`` - 1 words, so that each of its windows is in one.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    most = max(block_words // 4, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                starts = range(0, max(len(words) - window + 1, 1), most)
+                parts = [b" ".join(words[a : a + most + window - 1]).decode() for a in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.int64()), pa.array(parts, pa.string())], ["item_id", "text"])
+
+    long_ = F.octet_length("text") > 2 * most  # fewer bytes hold no more words
+    items = cut(items.where(~long_).unionAll(map_batches(items.where(long_), run, "item_id long, text string")), "contamination-items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // (6 * block_words)))
     for k in range(n):
@@ -175,7 +188,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     own = out.columns
     out = out.select(*[F.col(f"`{c}`") for c in own], F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"), F.array().cast("array<long>").alias("hit_items"))
     spark = docs.sparkSession
-    for k, block in enumerate(blocks(benchmark, block_words)):
+    for k, block in enumerate(blocks(benchmark, block_words, window)):
         if k:
             out = cut(out, "contamination-block")  # so that one automaton is in a worker at a time
         automaton = spark.sparkContext.broadcast(WordAutomaton([(i, words_of(t)) for i, t in block], window))
