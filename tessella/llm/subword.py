@@ -40,6 +40,7 @@ class Spec:
     decay: float = 1e-6
     seed: int = 20_011
     sample_per_class: int = 1_500  # labelled training documents, at most, of either class
+    sample_bytes: int = 64_000_000  # of the texts of either class, at most, that come to the driver
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -239,18 +240,22 @@ def train(texts: list[str], labels: list[int], spec: Spec) -> Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, spec: Spec) -> tuple[list[str], list[int]]:
     """A bounded, deterministic sample of training texts: per class the documents with the smallest hashes.
 
-    Texts of any length take part. A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``modulus``. Ids are
+    Texts of any length up to ``sample_bytes`` take part, as many in the order of the hashes as those bytes hold. A document is held out if crc32 of its id as text leaves ``held_out`` modulo ``modulus``. Ids are
     chosen first and on narrow rows; only the chosen texts come to the driver. Of repeated or
     conflicting labels the larger counts.
     """
     ids = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).alias("y"))
     ids = ids.where(fold_of("doc_id", modulus) != held_out)
-    fit = docs.where("text IS NOT NULL").select("doc_id").distinct()
-    ids = ids.join(fit, "doc_id", "left_semi")
+    fit = docs.where("text IS NOT NULL").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size"))
+    ids = ids.join(fit, "doc_id").where(F.col("size") <= spec.sample_bytes)
     chosen: dict[int, int] = {}
     for y in (0, 1):
         rows = ids.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(spec.seed), "doc_id"), "doc_id").limit(spec.sample_per_class).collect()
-        chosen.update((r["doc_id"], y) for r in rows)
+        held = 0
+        for r in rows:
+            held += r["size"]
+            if held <= spec.sample_bytes:
+                chosen[r["doc_id"]] = y
     if not chosen:
         return [], []
     got = docs.where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
