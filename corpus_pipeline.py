@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, contamination, jaccard, quality, secrets
-from tessella.llm.common import cut, table, unused
+from tessella.llm.common import drop, table, unused, written
 from tessella.llm.subword import score
 
 #: Share of a document's words in benchmark windows beyond which the whole document goes.
@@ -76,9 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each returns is written and read again as the next one's input, and goes
+    when that stage's output is written. The last one's is read lazily, and goes when the application ends."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = cut(out, f"pipeline-{name}") if k + 1 < len(STAGES) else out
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs, path = written(docs, f"pipeline-{name}")
+            if before:
+                drop(spark, before)
+            before = path
     return docs
