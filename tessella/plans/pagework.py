@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring
+from tessella.operators.regions import locate
 from tessella.sources.tables import line_scan, table
 
 
@@ -26,13 +27,10 @@ def _regions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def region_join(spark: SparkSession, base: str) -> DataFrame:
-    """The region of each glyph: the one around it, else the last one to its left and above, else to its left, else above,
-    else the page's last. Each glyph keeps one running best, so that nothing but its page's regions meets it."""
-    kind = F.expr("""CASE WHEN x BETWEEN left AND right AND y BETWEEN top AND bottom THEN 0 WHEN left <= x AND top <= y THEN 1 WHEN left <= x THEN 2 WHEN top <= y THEN 3 ELSE 4 END""")
-    pages = _regions(spark, base).groupBy("page").agg(F.collect_list(F.struct("region", "left", "right", "top", "bottom")).alias("regions"))
-    met = _glyphs(spark, base).join(pages, "page", "left").select("id", "page", "x", "y", F.explode_outer("regions").alias("r")).select("id", "page", "x", "y", "r.*")
-    best = met.groupBy("id", "page").agg(F.min(F.when(F.col("region").isNotNull(), F.struct(kind.alias("kind"), (-F.col("region")).alias("last")))).alias("b"))
-    return best.groupBy("page", F.coalesce(-F.col("b.last"), F.lit(-1)).cast("bigint").alias("region"), F.coalesce("b.kind", F.lit(-1)).cast("bigint").alias("kind")).agg(F.count("*").cast("bigint").alias("n"))
+    """The region of each glyph: the last one around it, else the last one to its left and above, else to its left, else
+    above, else the page's last."""
+    found = locate(_glyphs(spark, base), _regions(spark, base))
+    return found.groupBy("page", "region", "kind").agg(F.count("*").cast("bigint").alias("n"))
 
 
 def border_pairs(spark: SparkSession, base: str) -> DataFrame:
