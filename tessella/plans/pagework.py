@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scoring
+from tessella.operators.absorption import absorb
 from tessella.operators.regions import locate
 from tessella.sources.tables import line_scan, table
 
@@ -33,6 +34,15 @@ def region_join(spark: SparkSession, base: str) -> DataFrame:
     return found.groupBy("page", "region", "kind").agg(F.count("*").cast("bigint").alias("n"))
 
 
+_RUN = "element_at(array(4, 6, 9, 13), CAST(o_orderkey % 4 + 1 AS INT))"
+
+
+def absorbed_runs(spark: SparkSession, base: str) -> DataFrame:
+    """Runs of text with the taller runs that take them as sub- and superscripts, along chains."""
+    runs = table(spark, base, "orders").selectExpr("o_orderkey AS id", "o_custkey AS page", "o_orderkey % 3 AS col", "o_orderkey * 7 % 90 AS y", f"{_RUN} AS h")
+    return absorb(runs).select("id", F.col("owner").cast("bigint").alias("owner"), "steps")
+
+
 def border_pairs(spark: SparkSession, base: str) -> DataFrame:
     """Left borders with the nearest right border within a band; cells of the band are listed, so that it is an equi-join."""
     band = 600 // (4 * 3)
@@ -108,7 +118,7 @@ def binary_losses(spark: SparkSession, base: str) -> DataFrame:
     return v.select("vec_id", F.round(F.aggregate(loss, F.lit(0.0), lambda a, y: a + y) / F.size("x"), 9).alias("loss"))
 
 
-QUERIES = {f.__name__: f for f in (column_pages, region_join, border_pairs, reading_order, separator_mass, list_items, type_descent, latency_report, prediction_score, binary_losses)}
+QUERIES = {f.__name__: f for f in (column_pages, region_join, absorbed_runs, border_pairs, reading_order, separator_mass, list_items, type_descent, latency_report, prediction_score, binary_losses)}
 
 _G = "g AS (SELECT o_orderkey AS id, o_custkey % 9 AS page, o_orderkey * 37 % 600 AS x, o_orderkey * 53 % 800 AS y, CASE WHEN o_custkey % 9 < 3 THEN 0 ELSE o_orderkey % (o_custkey % 9) END AS col FROM orders)"
 _RAW = """
@@ -124,6 +134,14 @@ WITH {_G}, r AS (SELECT s_suppkey AS region, s_suppkey % 9 AS page, s_suppkey *
 k AS (SELECT id, g.page, region, CASE WHEN x >= l AND x <= l + 120 AND y >= t AND y <= t + 150 THEN 0 WHEN l <= x AND t <= y THEN 1 WHEN l <= x THEN 2 WHEN t <= y THEN 3 ELSE 4 END AS kind FROM g LEFT JOIN r ON g.page = r.page),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY kind, region DESC) AS place FROM k)
 SELECT page, CAST(coalesce(region, -1) AS BIGINT) AS region, CASE WHEN region IS NULL THEN -1 ELSE kind END AS kind, count(*) AS n FROM b WHERE place = 1 GROUP BY ALL
+""",
+    "absorbed_runs": """
+WITH RECURSIVE r AS (SELECT o_orderkey AS id, o_custkey AS page, o_orderkey % 3 AS col, o_orderkey * 7 % 90 AS y, list_extract([4, 6, 9, 13], o_orderkey % 4 + 1) AS h FROM orders),
+d AS (SELECT b.id, a.id AS taker, a.h AS h_a, b.h, CASE WHEN b.y < a.y THEN a.y - (b.y + b.h) ELSE b.y - (a.y + a.h) END AS gap
+  FROM r b JOIN r a ON a.page = b.page AND a.col = b.col AND 0.8 * a.h > b.h),
+p AS (SELECT id, taker FROM d WHERE gap < 0.6 * h QUALIFY row_number() OVER (PARTITION BY id ORDER BY gap, h_a DESC, taker) = 1),
+c AS (SELECT id, id AS owner, CAST(0 AS BIGINT) AS steps FROM r UNION ALL SELECT c.id, p.taker, steps + 1 FROM c JOIN p ON p.id = c.owner)
+SELECT id, arg_max(owner, steps) AS owner, max(steps) AS steps FROM c GROUP BY id
 """,
     "border_pairs": f"""
 WITH {_G}, p AS (SELECT DISTINCT l.page, l.x AS a, r.x AS b, abs(l.x - r.x) AS gap FROM g l JOIN g r ON l.page = r.page AND l.y < 20 AND r.y > 780 AND abs(l.x - r.x) <= 50)
