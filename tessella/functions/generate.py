@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import numbers
@@ -32,9 +32,9 @@ def choose(u: Column, shares) -> Column:
     return out.otherwise(F.lit(shares[-1][0]))
 
 
-def numeric_pairs(spark: SparkSession, rows: int) -> DataFrame:
-    """row, n, prefix, format and the Kinyarwanda side; ru and ku count only 1, so others with them go."""
-    r = spark.range(rows).select(F.col("id").alias("row"))
+def numeric_pairs(rows: DataFrame) -> DataFrame:
+    """row, n, prefix, format and the Kinyarwanda side for every ``row`` number; ru and ku count only 1, so others with them go."""
+    r = rows.select(F.col("row").cast("bigint").alias("row"))
     limit = choose(draw(F.col("row"), 0), LIMITS)
     r = r.select(F.inline(F.array(F.struct("row", (1 + (draw(F.col("row"), 1) * 1_000_003 + draw(F.col("row"), 2)) % limit).alias("n")))))
     prefix = F.when(F.col("n") % 10 == 1, choose(draw(F.col("row"), 3), ONE)).otherwise(choose(draw(F.col("row"), 3), MANY))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import assembly, decoding, evaluation, gazettes, glyphs, layouts, morphs, pagework, pairs, records, search, sequences, texts
+from tessella.plans import assembly, decoding, evaluation, gazettes, glyphs, layouts, morphs, pagework, pairs, records, scripts, search, sequences, texts
 
-FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search, glyphs, gazettes, morphs]
+FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search, glyphs, gazettes, morphs, scripts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -58,13 +58,16 @@ def label_smoothed_nll(spark: SparkSession, base: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, base: str) -> DataFrame:
-    step = spark.range(1, 401).select((F.col("id") * 100).alias("step"))
+    """Rates at the step of every event, 100 steps after the one before it."""
+    step = table(spark, base, "events").select((F.col("event_id") * 100 % 80_000 + 100).alias("step")).distinct()
     shapes = [F.round(scoring.annealed_rate(F.col("step"), 0.001, 4000, 36000, s, 1e-5), 12).alias(s) for s in ("linear", "cosine", "exponential", "constant")]
     return step.select("step", F.round(scoring.inverse_sqrt_rate(F.col("step"), 0.001, 8000), 12).alias("inverse_sqrt"), *shapes)
 
 
 def relpos_bucket(spark: SparkSession, base: str) -> DataFrame:
-    return spark.range(-300, 301).select(F.col("id").alias("distance"), scoring.relative_bucket(F.col("id")).cast("bigint").alias("bucket"))
+    """Buckets of the distances between the items' part and supplier numbers, and how many items have each."""
+    away = table(spark, base, "lineitem").groupBy((F.col("l_partkey") - F.col("l_suppkey")).cast("bigint").alias("distance")).agg(F.count("*").cast("bigint").alias("n"))
+    return away.select("distance", scoring.relative_bucket(F.col("distance")).cast("bigint").alias("bucket"), "n")
 
 
 def adamw_step(spark: SparkSession, base: str) -> DataFrame:
@@ -138,7 +141,7 @@ WITH v AS ({_V}), e AS (SELECT vec_id, label, v, ln(list_sum(list_transform(v, l
 SELECT vec_id, round(-(1.0 - 0.1 - 0.1 / 63) * (v[label + 1] - z) - (0.1 / 63) * (list_sum(v) - 64 * z), 9) AS loss FROM e
 """,
     "lr_schedule": """
-WITH s AS (SELECT unnest(range(1, 401)) * 100 AS step)
+WITH s AS (SELECT DISTINCT event_id * 100 % 80000 + 100 AS step FROM events)
 SELECT step, round(CASE WHEN step <= 8000 THEN 0.001 * step / 8000 ELSE 0.001 * sqrt(8000) / sqrt(step) END, 12) AS inverse_sqrt,
   round(CASE WHEN step <= 4000 THEN 0.001 * step / 4000 ELSE greatest(0.001 * (36000 - least(step, 36000)) / 32000.0, 1e-5) END, 12) AS linear,
   round(CASE WHEN step <= 4000 THEN 0.001 * step / 4000 ELSE greatest(0.0005 * (cos(pi() * (least(step, 36000) - 4000) / 32000.0) + 1), 1e-5) END, 12) AS cosine,
@@ -146,9 +149,9 @@ SELECT step, round(CASE WHEN step <= 8000 THEN 0.001 * step / 8000 ELSE 0.001 *
   round(CASE WHEN step <= 4000 THEN 0.001 * step / 4000 ELSE 0.001 END, 12) AS constant FROM s
 """,
     "relpos_bucket": """
-WITH d AS (SELECT unnest(range(-300, 301)) AS distance)
+WITH d AS (SELECT CAST(l_partkey - l_suppkey AS BIGINT) AS distance, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT distance, CAST(CASE WHEN distance > 0 THEN 16 ELSE 0 END + CASE WHEN abs(distance) < 8 THEN abs(distance)
-  ELSE least(8 + floor(ln(greatest(abs(distance), 1) / 8.0) / ln(16.0) * 8), 15) END AS BIGINT) AS bucket FROM d
+  ELSE least(8 + floor(ln(greatest(abs(distance), 1) / 8.0) / ln(16.0) * 8), 15) END AS BIGINT) AS bucket, n FROM d
 """,
     "adamw_step": f"""
 WITH v AS ({_V}), j AS (SELECT a.vec_id, a.v AS p, b.v AS g FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),

@@ -152,8 +152,8 @@ def detokenise_marked(spark: SparkSession, base: str) -> DataFrame:
 
 
 def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:
-    """Generated numbers with their prefix and format; 200,000 of them, as many as the reference makes."""
-    return generate.numeric_pairs(spark, 200_000).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
+    """A generated number with its prefix and format for every order's key."""
+    return generate.numeric_pairs(table(spark, base, "orders").select(F.col("o_orderkey").alias("row"))).select("row", "n", "prefix", "format", F.length("rw").cast("bigint").alias("n_chars"))
 
 
 def translate_fallback(spark: SparkSession, base: str) -> DataFrame:
