@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import by_chars, cut, map_batches, shuffles_freed, table, unused
-from tessella.llm.repeats import _mix
+from tessella.llm.repeats import Hashes, _mix
 
 SHINGLE = 5
 NUM, DEN = 3, 4  # the least similarity, as a fraction
@@ -35,22 +35,20 @@ EDGES = (3, 4, 6, 10, 20, 60, 300)
 PARTS = len(EDGES) + 1
 PAIRS_AT_ONCE = 5_000  # pairs of one set from which its list is dealt to several tasks
 CHARS_AT_ONCE = 1_000_000
-WORDS_REMEMBERED = 100_000  # words whose hashes a worker keeps
+LONG_WORD = 64  # bytes from which a word is hashed cryptographically
 NAMES_AT_ONCE = 200_000  # sets that a task remembers, so as not to send copies twice
 _OFTEN = 1 << 30  # frequencies from here on are places among the frequent n-grams
 
 
-_WORDS: dict[bytes, int] = {}  # hashes of words that a worker has seen
-
-
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits of a cryptographic hash of each word, so that no pattern of letters can make two words alike."""
-    if len(_WORDS) > WORDS_REMEMBERED:
-        _WORDS.clear()
-    for w in set(words):
-        if w not in _WORDS:
-            _WORDS[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    """64 bits for each word. Long words get a cryptographic hash: the polynomial of the others is modulo a power of two, and
+    takes words for alike that follow certain patterns over hundreds of letters."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(length + 1) - 1
+    h = Hashes(np.frombuffer(b" ".join(words), np.uint8), 0).of(ends - length, ends)
+    for k in np.flatnonzero(length > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(words[k], digest_size=8).digest(), "little")
+    return h
 
 
 def _n_grams(words: np.ndarray, size: int) -> np.ndarray:

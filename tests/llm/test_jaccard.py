@@ -106,6 +106,8 @@ def test_texts_of_one_pattern_are_told_apart(spark):
     for _ in range(12):
         word += word.translate(str.maketrans("ab", "ba"))
     other = word.translate(str.maketrans("ab", "ba"))
+    patterns = {x for n in range(13) for x in (word[: 2**n], other[: 2**n])}
+    assert len(set(jaccard._word_hashes([x.encode() for x in patterns]).tolist())) == len(patterns)
     rows = [(1, "one two three four " + word), (2, "one two three four " + other), (3, word), (4, other), (5, f"{word} {other} x y z"), (6, f"{other} {word} x y z")]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got) == [(k, 1, k) for k in range(1, 7)]
