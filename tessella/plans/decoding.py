@@ -22,8 +22,8 @@ def _entries(spark: SparkSession, base: str) -> DataFrame:
 
 
 def hypothesis_score(spark: SparkSession, base: str) -> DataFrame:
-    v = _vectors(spark, base).select("vec_id", F.transform(F.slice("v", 1, 8), lambda x: F.abs(x) * 4 + 0.1).alias("mass"), (-F.abs(F.element_at("v", 9)) * 10).alias("logp"), (F.col("vec_id") % 20 + 1).alias("n"))
-    return v.select("vec_id", F.round(scoring.hypothesis_score(F.col("logp"), F.col("n"), F.col("mass"), F.lit(8), F.col("n")), DIGITS).alias("score"))
+    v = _vectors(spark, base).select("vec_id", F.transform(F.slice("v", 1, 63), lambda x: F.abs(x) * 4 + 0.1).alias("mass"), (-F.abs(F.element_at("v", 64)) * 10).alias("logp"), (F.col("vec_id") % 20 + 1).alias("n"))
+    return v.select("vec_id", F.round(scoring.hypothesis_score(F.col("logp"), F.col("n"), F.col("mass"), F.lit(63), F.col("n")), DIGITS).alias("score"))
 
 
 def topk_logsoftmax(spark: SparkSession, base: str) -> DataFrame:
@@ -48,7 +48,7 @@ def unk_cap(spark: SparkSession, base: str) -> DataFrame:
     """The unknown id (0) may have no more than the best of the others."""
     best = F.max(F.when(F.col("id") != 0, F.col("p"))).over(Window.partitionBy("vec_id"))
     e = _entries(spark, base).withColumn("capped", F.when(F.col("id") == 0, F.least("p", best)).otherwise(F.col("p")))
-    return e.where("id IN (0, 1, 63)").select("vec_id", "id", "capped")
+    return e.select("vec_id", "id", "capped")
 
 
 def _items(spark: SparkSession, base: str) -> DataFrame:
@@ -75,7 +75,7 @@ def corr_joint(spark: SparkSession, base: str) -> DataFrame:
 
 def type_vote(spark: SparkSession, base: str) -> DataFrame:
     """Each word type's best log probability in three heads, summed and normalised; -100 where a head has none."""
-    e = _entries(spark, base).withColumn("head", F.col("id") % 4).withColumn("type", F.floor(F.col("id") / 4) % 5).where("p > 0.0155")
+    e = _entries(spark, base).withColumn("head", F.col("id") % 3).withColumn("type", F.floor(F.col("id") / 3) % 5).where("p > 0.0155")
     best = e.groupBy("vec_id", "type").agg(*[F.coalesce(F.max(F.when(F.col("head") == h, F.log("p"))), F.lit(-100.0)).alias(f"h{h}") for h in range(3)])
     summed = best.withColumn("s", F.col("h0") + F.col("h1") + F.col("h2"))
     w = Window.partitionBy("vec_id")
@@ -119,7 +119,7 @@ _W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 ORACLE = {
     "hypothesis_score": """
 WITH v AS (SELECT vec_id, vec_id % 20 + 1 AS n, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT vec_id, round(-abs(v[9]) * 10 / pow((n + 5) / 6.0, 0.2) + 0.8 * list_sum(list_transform(v[1:8], lambda x: ln(least(abs(x) * 4 + 0.1, 1.0)))) + 0.2 * 8 / n, 9) AS score FROM v
+SELECT vec_id, round(-abs(v[64]) * 10 / pow((n + 5) / 6.0, 0.2) + 0.8 * list_sum(list_transform(v[1:63], lambda x: ln(least(abs(x) * 4 + 0.1, 1.0)))) + 0.2 * 63 / n, 9) AS score FROM v
 """,
     "topk_logsoftmax": _E
     + """, t AS (SELECT vec_id, id, x, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, id) AS rank FROM e)
@@ -130,7 +130,7 @@ s AS (SELECT *, max(stop) OVER (PARTITION BY vec_id ORDER BY p DESC, id) AS stop
 SELECT vec_id, count(*) AS n, min(p) AS least FROM s WHERE stopped = 0 GROUP BY vec_id""",
     "unk_cap": _E
     + """, c AS (SELECT vec_id, id, CASE WHEN id = 0 THEN least(p, max(p) FILTER (id <> 0) OVER (PARTITION BY vec_id)) ELSE p END AS capped FROM e)
-SELECT vec_id, id, capped FROM c WHERE id IN (0, 1, 63)""",
+SELECT vec_id, id, capped FROM c""",
     "slot_resolution": """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 1 END, l_quantity DESC, l_partkey, l_suppkey, l_extendedprice) AS r FROM lineitem) WHERE r = 1
@@ -145,7 +145,7 @@ r AS (SELECT c.o, c.p, c.s, exp(0.08 * (op.n + os.n + ps.n) + ln(1.0 / (2 + c.o
 SELECT o, p, s, round(raw / sum(raw) OVER (PARTITION BY o), 9) AS joint FROM r
 """,
     "type_vote": _E
-    + """, h AS (SELECT vec_id, id // 4 % 5 AS type, id % 4 AS head, ln(p) AS lp FROM e WHERE p > 0.0155),
+    + """, h AS (SELECT vec_id, id // 3 % 5 AS type, id % 3 AS head, ln(p) AS lp FROM e WHERE p > 0.0155),
 b AS (SELECT vec_id, type, coalesce(max(lp) FILTER (head = 0), -100) + coalesce(max(lp) FILTER (head = 1), -100) + coalesce(max(lp) FILTER (head = 2), -100) AS s FROM h GROUP BY ALL),
 x2 AS (SELECT vec_id, type, exp(s - max(s) OVER (PARTITION BY vec_id)) AS e FROM b)
 SELECT vec_id, type, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM x2""",

@@ -88,7 +88,7 @@ def grad_vaccine(spark: SparkSession, base: str) -> DataFrame:
 
 def finite_losses(spark: SparkSession, base: str) -> DataFrame:
     """Batches with a finite loss, and the mean over them."""
-    loss = F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.element_at("v", 1))
+    loss = F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 11 == 0, F.lit(float("inf"))).otherwise(scoring.total(F.col("v")))
     rows = _vectors(spark, base).select("label", loss.alias("loss")).where(~F.isnan("loss") & (F.abs("loss") < float("inf")))
     return rows.groupBy("label").agg(F.count("*").cast("bigint").alias("n"), F.round(F.avg("loss"), DIGITS).alias("mean_loss"))
 
@@ -165,7 +165,7 @@ t AS (SELECT vec_id, CASE WHEN cos < 0.1 THEN list_transform(range(1, 65), lambd
 SELECT vec_id, round(list_sum(x), 8) AS s, round(sqrt(list_inner_product(x, x)), 8) AS norm FROM t
 """,
     "finite_losses": f"""
-WITH l AS (SELECT label, v[1] AS loss FROM ({_V}) WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0)
+WITH l AS (SELECT label, list_sum(v) AS loss FROM ({_V}) WHERE vec_id % 7 <> 0 AND vec_id % 11 <> 0)
 SELECT label, count(*) AS n, round(avg(loss), 9) AS mean_loss FROM l GROUP BY label
 """,
 }

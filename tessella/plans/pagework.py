@@ -85,7 +85,7 @@ def list_items(spark: SparkSession, base: str) -> DataFrame:
 
 def type_descent(spark: SparkSession, base: str) -> DataFrame:
     """Word types from the best score on, until one falls by more than 0.1 below the one before it."""
-    v = table(spark, base, "embeddings").select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 16)).alias("type", "score"))
+    v = table(spark, base, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("type", "score"))
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "type")
     falls = F.when(F.lag("score").over(w) - F.col("score") > 0.1, 1).otherwise(0)
     kept = v.withColumn("falls", falls).withColumn("stopped", F.sum("falls").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("stopped = 0")
@@ -159,7 +159,7 @@ b AS (SELECT *, coalesce(lag(shape) OVER (PARTITION BY doc_id ORDER BY line_no)
 SELECT doc_id, CAST(shape AS BIGINT) AS shape, count(*) AS n, count(*) FILTER (same) AS n_same FROM b WHERE shape IS NOT NULL GROUP BY ALL
 """,
     "type_descent": """
-WITH v AS (SELECT vec_id, unnest(embedding[1:16])::DOUBLE AS score, generate_subscripts(embedding[1:16], 1) - 1 AS type FROM embeddings),
+WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS score, generate_subscripts(embedding, 1) - 1 AS type FROM embeddings),
 f AS (SELECT *, CASE WHEN lag(score) OVER (PARTITION BY vec_id ORDER BY score DESC, type) - score > 0.1 THEN 1 ELSE 0 END AS f FROM v),
 s AS (SELECT *, sum(f) OVER (PARTITION BY vec_id ORDER BY score DESC, type ROWS UNBOUNDED PRECEDING) AS s FROM f)
 SELECT vec_id, count(*) AS n, string_agg(CAST(type AS VARCHAR), ' ' ORDER BY score DESC, type) AS types FROM s WHERE s = 0 GROUP BY vec_id

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import scripts
+from tessella.functions.bidi import visual_order
 from tessella.operators import attention, languages
 from tessella.operators.ranking import with_running
-from tessella.runtime import cut
-from tessella.sources.tables import table
+from tessella.runtime import cut, ship_code
+from tessella.sources.tables import line_scan, table
 
 DIGITS = 9
 HEADS, NEAR, SLOPE = 4, 8, 0.05
@@ -30,6 +31,17 @@ def compat_forms(spark: SparkSession, base: str) -> DataFrame:
     return made.select("doc_id", F.md5(apart.cast("binary")).alias("digest"), F.length(apart).cast("bigint").alias("n_chars"))
 
 
+_HEBREW = ("aeioubdfglmnrst", "אהיועבדפגלמנרסת")
+
+
+def bidi_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Every line, with each third word in Hebrew letters, in the order in which it is seen."""
+    words = F.transform(F.split("line", " "), lambda w, i: F.when((i + F.col("doc_id")) % 3 == 0, F.translate(w, *_HEBREW)).otherwise(w))
+    ship_code(spark)
+    lines = line_scan(table(spark, base, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), visual_order(F.array_join(words, " ")).alias("shown"))
+
+
 def language_detection(spark: SparkSession, base: str) -> DataFrame:
     """The language of every document by profiles of those outside of its fold (a quarter of the ids is held out)."""
     docs = table(spark, base, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
@@ -50,7 +62,7 @@ def masked_attention(spark: SparkSession, base: str) -> DataFrame:
     return each.select("vec_id", "head", "lse", F.col("dim").cast("bigint").alias("dim"), F.round("value", DIGITS).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (compat_forms, language_detection, masked_attention)}
+QUERIES = {f.__name__: f for f in (compat_forms, bidi_lines, language_detection, masked_attention)}
 
 _SET = "text"
 for _letters, _sign in _LIGATURES:
