@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring
 from tessella.operators.absorption import absorb
+from tessella.operators.columns import separators
 from tessella.operators.regions import locate
 from tessella.sources.tables import line_scan, table
 
@@ -72,6 +73,14 @@ LIST_ITEMS = (r"^\.", r"^[0-9]+\.", r"^\[[0-9]+\]", r"^[0-9]+\)", r"^[A-Z]\.", r
 _ITEM_LINE = "concat(element_at(array('', '. ', '12. ', '[3] ', '4) ', 'B. ', 'c. ', 'D) ', 'e) ', 'XI. ', 'iv. '), CAST((doc_id + line_no) % 11 + 1 AS INT)), line)"
 
 
+def column_separators(spark: SparkSession, base: str) -> DataFrame:
+    """The two separators of each page, by which evidence, and what lies between them. Orders stand for glyphs in three columns, with
+    some wide ones across them on every third page."""
+    wide = "IF(o_custkey % 3 = 0 AND o_orderkey % 97 = 0, 260, o_orderkey * 31 % 120 + 20)"
+    rows = table(spark, base, "orders").selectExpr("o_custkey % 40 AS page", "CAST(o_orderkey % 3 * 200 + o_orderkey * 37 % (15 + o_custkey % 5 * 8) AS DOUBLE) AS a", f"{wide} AS w")
+    return separators(rows.selectExpr("page", "a", "a + w AS b"), "page", "a", "b", 4, 2)
+
+
 def list_items(spark: SparkSession, base: str) -> DataFrame:
     """Lines that begin a list item, by the first shape that fits, and those that go on with the shape of the line before."""
     lines = line_scan(table(spark, base, "documents").select("doc_id", "text")).select("doc_id", "line_no", F.expr(_ITEM_LINE).alias("line"))
@@ -118,7 +127,7 @@ def binary_losses(spark: SparkSession, base: str) -> DataFrame:
     return v.select("vec_id", F.round(F.aggregate(loss, F.lit(0.0), lambda a, y: a + y) / F.size("x"), 9).alias("loss"))
 
 
-QUERIES = {f.__name__: f for f in (column_pages, region_join, absorbed_runs, border_pairs, reading_order, separator_mass, list_items, type_descent, latency_report, prediction_score, binary_losses)}
+QUERIES = {f.__name__: f for f in (column_pages, region_join, absorbed_runs, border_pairs, reading_order, separator_mass, column_separators, list_items, type_descent, latency_report, prediction_score, binary_losses)}
 
 _G = "g AS (SELECT o_orderkey AS id, o_custkey % 9 AS page, o_orderkey * 37 % 600 AS x, o_orderkey * 53 % 800 AS y, CASE WHEN o_custkey % 9 < 3 THEN 0 ELSE o_orderkey % (o_custkey % 9) END AS col FROM orders)"
 _RAW = """
