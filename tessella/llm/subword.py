@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import by_chars, map_batches
 
 R = np.uint64(0x9E3779B97F4A7C15)
-CHARS_AT_ONCE = 300_000
+CHARS_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
