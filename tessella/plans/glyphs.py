@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import glyphs, text
 from tessella.operators.ranking import with_running
+from tessella.runtime import cut
 from tessella.sources.tables import table
 
 #: Stand-ins that Spark and DuckDB read alike once ``div`` is written as each of them writes it.
@@ -80,12 +81,17 @@ def paragraph_sections(spark: SparkSession, base: str) -> DataFrame:
     return counted.select("id", "section", "page", "col", "article", "paragraph", "n_lines", "paragraph_text")
 
 
-def _vocabulary(spark: SparkSession, base: str) -> DataFrame:
+def _counted(spark: SparkSession, base: str) -> DataFrame:
+    """Every token and its count, written once: the total, the ranks and the queries themselves read it."""
+    words = table(spark, base, "documents").select(F.explode(text.tokens(F.col("text"))).alias("w"))
+    return cut(words.groupBy(F.lower("w").alias("token")).agg(F.count("*").cast("bigint").alias("n")), "token-counts")
+
+
+def _vocabulary(counted: DataFrame) -> DataFrame:
     """Tokens seen twice or more, with their percentile, most frequent first."""
-    words = table(spark, base, "documents").select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("token")).agg(F.count("*").alias("n"))
-    known = words.where("n >= 2").select("token", (-F.col("n")).alias("down"))
+    known = counted.where("n >= 2").select("token", (-F.col("n")).alias("down"))
     share = 100 * (F.col("rank") - 1) / F.lit(known.count())
-    return with_running(known, ["down", "token"]).select("token", F.floor(share).cast("bigint").alias("pct"))
+    return cut(with_running(known, ["down", "token"]).select("token", F.floor(share).cast("bigint").alias("pct")), "token-ranks")
 
 
 def _rare(length, pct):
@@ -95,15 +101,20 @@ def _rare(length, pct):
 
 def rare_tokens(spark: SparkSession, base: str) -> DataFrame:
     """Every token and whether it is rare: without part of speech, or a noun that the statistics lack or rank low."""
-    words = table(spark, base, "documents").select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy(F.lower("w").alias("token")).agg(F.count("*").cast("bigint").alias("n"))
-    return words.join(_vocabulary(spark, base), "token", "left").select("token", "n", "pct", F.coalesce(_rare(F.length("token"), F.col("pct")), F.lit(False)).alias("rare"))
+    counted = _counted(spark, base)
+    return _rated(counted, _vocabulary(counted))
+
+
+def _rated(counted: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    return counted.join(vocabulary, "token", "left").select("token", "n", "pct", F.coalesce(_rare(F.length("token"), F.col("pct")), F.lit(False)).alias("rare"))
 
 
 def word_split_variants(spark: SparkSession, base: str) -> DataFrame:
     """The best split of each rare word: after a vowel as it stands; before a word that ends in a vowel with an apostrophe, or
     with the a (or the i of ni) that it stands for. No part may be rare; unknown parts rank 100, the word itself 10,000."""
-    vocabulary = _vocabulary(spark, base)
-    words = rare_tokens(spark, base).where("rare AND token RLIKE '^[a-z]+$'").select("token")
+    counted = _counted(spark, base)
+    vocabulary = _vocabulary(counted)
+    words = _rated(counted, vocabulary).where("rare AND token RLIKE '^[a-z]+$'").select("token")
     cuts = words.where("length(token) > 1").select("token", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("k"))
     cuts = cuts.select("token", "k", F.left("token", F.col("k")).alias("a"), F.expr("substring(token, k + 1)").alias("b"))
     vowel = lambda c: F.right(c, F.lit(1)).isin(*"aeiou")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import sequences, text
 from tessella.operators import batching
 from tessella.operators.ranking import with_running
+from tessella.runtime import cut
 from tessella.sources.tables import table
 
 EPOCH = 7  # seed of the registered epoch
@@ -118,7 +119,7 @@ def token_stats(spark: SparkSession, base: str) -> DataFrame:
 
 def token_pct_rank(spark: SparkSession, base: str) -> DataFrame:
     """The percentile of each token, most frequent first, as the order of a statistics file gives it."""
-    s = _stats(spark, base).select("token", (-F.col("total")).alias("down"))
+    s = cut(_stats(spark, base).select("token", (-F.col("total")).alias("down")), "token-counts")
     share = 100 * (F.col("rank") - 1) / F.lit(s.count())
     return with_running(s, ["down", "token"]).select("token", F.floor(share).cast("bigint").alias("pct_rank"))
 
