@@ -33,7 +33,7 @@ LEAST_FRAGMENTS = 64
 #: Vertical fragments in which overlaps are counted: the global order cut at these frequencies.
 EDGES = (3, 4, 6, 10, 20, 60, 300)
 PARTS = len(EDGES) + 1
-PAIRS_AT_ONCE = 5_000  # pairs of one set from which its list is dealt to several tasks
+PAIRS_AT_ONCE = 1_000  # pairs of one set from which its list is dealt to several tasks
 CHARS_AT_ONCE = 1_000_000
 LONG_WORD = 64  # bytes from which a word is hashed cryptographically
 NAMES_AT_ONCE = 200_000  # sets that a task remembers, so as not to send copies twice
