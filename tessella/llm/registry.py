@@ -34,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": jaccard.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op9_ann": neighbours.ORACLE,
+        "op10_suffix_array_dedup": repeats.ORACLE,
         "op11_source_divergence": divergence.ORACLE,
         "op13_hard_negatives": negatives.ORACLE,
     }

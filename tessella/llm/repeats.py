@@ -443,3 +443,20 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that lie in a 400-byte string found elsewhere too."""
     left = remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 400 bytes by its MD5; windows are cut from stretches of 1,024 so that none is sought in a long text.
+ORACLE = """
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT r, p, substr(h, 2 * p + 1, 2 * (1024 + 399)) AS s FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 399, 0), 1024)) AS p FROM t)),
+w AS MATERIALIZED (SELECT r, p + i AS p, md5_number(substr(s, 2 * i + 1, 800)) AS k FROM (SELECT r, p, s, unnest(range(least(length(s) // 2 - 399, 1024))) AS i FROM b)),
+m AS (SELECT r, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) AS often USING (k)),
+j AS (SELECT r, p, coalesce(p > lag(p) OVER o + 400, true) AS fresh FROM m WINDOW o AS (PARTITION BY r ORDER BY p)),
+n AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS run FROM j),
+c AS (SELECT r, run, min(p) AS a, max(p) + 400 AS b FROM n GROUP BY ALL),
+g AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM c),
+k AS (SELECT r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS b, sum(b - a) AS n_removed, count(*) AS n_spans FROM g JOIN t USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(b, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN k USING (r)
+"""

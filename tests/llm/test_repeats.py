@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import duckdb
 import pytest
 
 from tessella.llm import repeats
@@ -98,3 +100,19 @@ def test_common_prefixes_equal_plain_ones():
         for x, y, n in zip(sa.order, sa.order[1:], sa.common[1:]):
             true = next(j for j, (c, d) in enumerate(zip(suffix[x], suffix[y])) if c != d)
             assert n == (true if true >= 3 else 0)
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    texts = [*several_shared(7, 12), None, "", "short", "é" * 500, "ab" * 1500, "x" * 400]
+    docs = spark.createDataFrame([(k, t, [1]) for k, t in enumerate(texts)], "doc_id long, text string, spans array<int>")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(repeats.ORACLE)
+    columns = [d[0] for d in want.description]
+    got = repeats.op10_suffix_array_dedup(spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(columns)
+    rows = sorted(want.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == rows
+    digests = {r[0]: r[columns.index("kept_sha256")] for r in rows}
+    assert [digests[k] for k in range(len(texts))] == [hashlib.sha256(t).hexdigest() for t in brute(texts, repeats.LEAST)]
