@@ -47,3 +47,11 @@ def stem_value(line: Column) -> Column:
 def fields(line: Column, separator: str) -> Column:
     """The trimmed fields of a table's line; null for a blank line, which is skipped."""
     return F.when(F.trim(line) != "", F.transform(F.split(F.trim(line), separator), lambda x: F.trim(x)))
+
+
+def casing_record(line: Column) -> Column:
+    """(word, n, n_first_up) of a line of three tab-separated fields; null for a line of more or fewer, or whose counts are none."""
+    f = F.split(line, "\t", -1)
+    number = lambda k: F.try_to_number(F.get(f, F.lit(k)), F.lit("999999999999999999")).cast("bigint")
+    record = F.struct(F.get(f, F.lit(0)).alias("word"), number(1).alias("n"), number(2).alias("n_first_up"))
+    return F.when((F.size(f) == 3) & number(1).isNotNull() & number(2).isNotNull(), record)

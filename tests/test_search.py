@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessella.functions import beam, legal
+from tessella.functions import beam, legal, records
 from tessella.sources import sinks
 
 
@@ -70,3 +70,21 @@ def test_line_files_read_back(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "pairs")).first()["value"] == "a b\t"
     sinks.write_lines(rows.where("place < 0"), str(tmp_path / "lines"))
     assert spark.read.schema("value string").text(str(tmp_path / "lines")).count() == 0
+
+
+def test_aligned_files_keep_lines_together(spark, tmp_path):
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else f"a {k}", f"b {k}\r\nmore" if k % 5 else "") for k in range(60, -1, -1)], "place long, left string, right string")
+    sinks.write_aligned(rows.repartition(5), str(tmp_path / "two"), ["left", "right"], 20)
+    for side in ("left", "right"):
+        assert sorted(p.name for p in (tmp_path / "two" / side).glob("shard=*")) == [f"shard={k}" for k in range(4)]
+        assert all(len(list(p.glob("part-*"))) == 1 for p in (tmp_path / "two" / side).glob("shard=*"))
+    got = {(r["shard"] * 20 + r["line_no"]): (r["left"], r["right"]) for r in sinks.read_aligned(spark, str(tmp_path / "two"), ["left", "right"]).collect()}
+    assert got == {k: ("" if k % 7 == 0 else f"a {k}", f"b {k} more" if k % 5 else "") for k in range(61)}
+
+
+def test_ids_and_casing_records(spark, tmp_path):
+    sinks.write_ids(spark.sql("SELECT explode(array(array(5, 1), cast(array() AS array<int>), null)) AS ids"), str(tmp_path / "ids"))
+    assert sorted(r["ids"] for r in sinks.read_ids(spark, str(tmp_path / "ids")).collect()) == [[], [], [5, 1]]
+    lines = [("a\t3\t1",), ("a\t3",), ("a\t3\t1\tx",), ("",), (None,), ("a\tmany\t1",), ("\t0\t0",)]
+    got = [r["r"] for r in spark.createDataFrame(lines, "line string").select(records.casing_record(F.col("line")).alias("r")).collect()]
+    assert [g and tuple(g) for g in got] == [("a", 3, 1), None, None, None, None, None, ("", 0, 0)]
