@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import assembly, decoding, evaluation, files, gazettes, glyphs, layouts, morphs, pagework, pairs, records, runs, scripts, search, sequences, texts
+from tessella.plans import assembly, decoding, evaluation, files, gazettes, glyphs, layouts, models, morphs, pagework, pairs, records, runs, scripts, search, sequences, texts
 
-FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search, glyphs, gazettes, morphs, scripts, runs, files]
+FAMILIES = [pairs, records, assembly, sequences, texts, decoding, evaluation, layouts, pagework, search, glyphs, gazettes, morphs, scripts, runs, files, models]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
