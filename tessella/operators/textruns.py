@@ -24,7 +24,10 @@ SIZE, TOLERANCE, HEAD_FONT, MEANING_FONT, HEAD_COLOUR, ALTERNATIVE = 12.96, 0.01
 
 def with_lines(pieces: DataFrame, key: list[str]) -> DataFrame:
     """``pieces`` (key, y, h) with ``line``, from 0 in each page: a line begins at the first y that is lower than the line's first by
-    more than a quarter of both heights. The tallest piece of a y stands for it. Null y or h counts as 0."""
+    more than a quarter of both heights. The tallest piece of a y stands for it. Null y or h counts as 0.
+
+    Only the heights and the lines' first ones are gathered by page; pieces are dealt by page once, as ``text_runs`` needs them too.
+    """
     y, h = F.coalesce(F.col("y").cast("double"), F.lit(0.0)), F.coalesce(F.col("h").cast("double"), F.lit(0.0))
     levels = pieces.groupBy(*key, y.alias("_y")).agg(F.max(h).alias("_h"))
     pages = levels.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_y", "_h"))).alias("levels"))
@@ -35,12 +38,10 @@ def with_lines(pieces: DataFrame, key: list[str]) -> DataFrame:
         opened = F.struct(v.alias("at"), F.concat(F.coalesce(s["starts"], F.array().cast("array<double>")), F.array(v["_y"])).alias("starts"))
         return F.when(begins, opened).otherwise(s)
 
-    starts = F.aggregate("levels", none, step, lambda s: s["starts"])
-    spans = pages.select(*key, "levels", starts.alias("starts")).select(*key, F.explode(F.transform("levels", lambda v: F.struct(v["_y"].alias("_y"), (F.size(F.filter("starts", lambda s: s <= v["_y"])) - 1).cast("bigint").alias("line")))).alias("v"))
-    spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("v._y").alias("_y"), F.col("v.line").alias("line"))
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
-    met = pieces.withColumn("_py", y).join(spans, [*same, F.col("_py") == F.col("_y")])
-    return met.drop("_py", "_y", *[f"_k{i}" for i in range(len(key))])
+    starts = pages.select(*key, F.explode(F.aggregate("levels", none, step, lambda s: s["starts"])).alias("_y"), F.lit(1).alias("_start"))
+    every = pieces.withColumn("_y", y).withColumn("_start", F.lit(0)).unionByName(starts, allowMissingColumns=True)
+    upto = Window.partitionBy(*key).orderBy("_y", F.desc("_start")).rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("line", F.sum("_start").over(upto) - 1).where("_start = 0").drop("_y", "_start")
 
 
 def text_runs(pieces: DataFrame, key: list[str], order: list[str], care_about_font: bool = True, least_y: float = 0.0) -> DataFrame:

@@ -16,7 +16,7 @@ from tessella.sources import sinks
 from tessella.sources.tables import line_scan, table
 from tessella.streaming.ingest import append_new, stream_files
 
-SHARD = 128
+SHARD = 4096  # places in a file
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -33,7 +33,7 @@ def line_files(spark: SparkSession, base: str) -> DataFrame:
 
 
 def shard_files(spark: SparkSession, base: str) -> DataFrame:
-    """Documents in files of 128 places each, whose names carry number, start and end."""
+    """Documents in files of 4,096 places each, whose names carry number, start and end."""
     path = _folder(spark, "shards")
     sinks.write_shards(table(spark, base, "documents").select(F.col("doc_id").alias("place"), F.col("text").alias("line")), path, SHARD)
     read = spark.read.schema("value string, shard string").text(path)
@@ -67,7 +67,7 @@ def pair_files(spark: SparkSession, base: str) -> DataFrame:
 
 
 def aligned_files(spark: SparkSession, base: str) -> DataFrame:
-    """The same pairs as two row-aligned files for every 128 places, joined again by file and line."""
+    """The same pairs as two row-aligned files for every 4,096 places, joined again by file and line."""
     path = _folder(spark, "aligned")
     sinks.write_aligned(_said(spark, base), path, ["asked", "answered"], SHARD)
     return sinks.read_aligned(spark, path, ["asked", "answered"]).select("shard", F.col("line_no").cast("bigint").alias("line_no"), "asked", "answered")
