@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.text import capitalise
+
 #: Fixed values of the rules.
 VOWELS = ("i", "u", "o", "a", "e")
 CLOSING = (",", ".", ";", "?", "!", ":")
@@ -92,7 +94,7 @@ def _joined(tokens: Column, tags: Column | None) -> Column:
 
     def finished(sentence: Column, marks: Column) -> Column:
         pieces = F.aggregate(marks, F.lit(0), lambda n, m: n + F.when(m == "d", 2).when(m == "x", 0).when(m == "", 0).otherwise(1))
-        cased = F.when(pieces > 1, F.concat(F.upper(F.left(sentence, F.lit(1))), F.substr(sentence, F.lit(2)))).otherwise(sentence)
+        cased = F.when(pieces > 1, capitalise(sentence)).otherwise(sentence)
         return F.trim(F.regexp_replace(F.replace(cased, F.lit("<unk>"), F.lit(" ")), r"\s+", " "))
 
     return _let(near, marked)

@@ -40,3 +40,12 @@ def test_composite_keys_of_long_numbers(spark, tmp_path):
     items = pa.table({"l_orderkey": keys, "l_partkey": [1] * n, "l_suppkey": [1] * n, "l_linenumber": pa.array([1, 2, 3, 7, 1, 1, 12, 123], pa.int32()), "l_returnflag": ["A"] * n, "l_linestatus": ["F"] * n})
     ours, theirs = both(spark, tmp_path / "t", "composite_keys", lineitem=items)
     assert ours == theirs
+
+
+CAPITALS = ["ßab c", "ŉab c", "ᾳb c", "ﬁb c", "éa b", "ßab", "a ß", "", None]
+
+
+def test_detokenise_keeps_one_letter_for_one(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path / "t", "detokenise", documents=documents(CAPITALS))
+    assert ours == theirs
+    assert "ẞab c" in [r[1] for r in ours]
