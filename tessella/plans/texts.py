@@ -148,7 +148,8 @@ _INJECTED = """concat(CASE doc_id % 5 WHEN 0 THEN '« ' WHEN 1 THEN 'ya ya abana
 
 def detokenise_marked(spark: SparkSession, base: str) -> DataFrame:
     """The same with contractions, quotation marks, decimals, dashes and unknown tokens put in by the number of the document."""
-    return _docs(spark, base).select("doc_id", detokenised(text.tokens(F.expr(_INJECTED))).alias("sentence"))
+    docs = _docs(spark, base).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))  # null text is empty, as it is to DuckDB's concat
+    return docs.select("doc_id", detokenised(text.tokens(F.expr(_INJECTED))).alias("sentence"))
 
 
 def numeric_pairs(spark: SparkSession, base: str) -> DataFrame:

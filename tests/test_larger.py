@@ -49,3 +49,8 @@ def test_detokenise_keeps_one_letter_for_one(spark, tmp_path):
     ours, theirs = both(spark, tmp_path / "t", "detokenise", documents=documents(CAPITALS))
     assert ours == theirs
     assert "ẞab c" in [r[1] for r in ours]
+
+
+def test_detokenise_marked_keeps_one_letter_for_one(spark, tmp_path):
+    ours, theirs = both(spark, tmp_path / "t", "detokenise_marked", documents=documents(CAPITALS * 4))
+    assert ours == theirs
