@@ -54,3 +54,12 @@ def test_detokenise_keeps_one_letter_for_one(spark, tmp_path):
 def test_detokenise_marked_keeps_one_letter_for_one(spark, tmp_path):
     ours, theirs = both(spark, tmp_path / "t", "detokenise_marked", documents=documents(CAPITALS * 4))
     assert ours == theirs
+
+
+def test_token_stats_at_the_share_itself(spark, tmp_path):
+    # 63 of 90 and 126 of 180 are 0.7 exactly, and no more than it
+    texts = [" ".join(["Abc"] * 21 + ["abc"] * 9 + ["Def"] * 42 + ["def"] * 18)] * 3 + ["ghi abc"] + ["Abc Def"] * 0 + ["x"]
+    texts += [" ".join(["Jkl"] * 16 + ["jkl"] * 6 + ["Mno"] * 63 + ["mno"] * 27)] + [" ".join(["Jkl"] * 16 + ["jkl"] * 7)] * 3 + ["Jkl jkl", "Mno mno"]
+    texts += [" ".join(["Pqr"] * 21 + ["pqr"] * 9)] * 2 + [" ".join(["Pqr"] * 20 + ["pqr"] * 9), "Pqr"]
+    ours, theirs = both(spark, tmp_path / "t", "token_stats", documents=documents(texts))
+    assert ours == theirs
