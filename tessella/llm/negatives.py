@@ -6,7 +6,8 @@ a row from the centroid. By the Cauchy-Schwarz inequality an anchor's score with
 own order in each wave: it skips lists whose bounds lie outside its windows of wanted scores, and ends when
 every unseen list's bound is strictly below its k-th score. So results are exact, whatever the centroids.
 
-Anchors and lists travel packed, and meet by list: each list's rows are scored against many anchors at once.
+Anchors and lists travel packed, and meet by list: each list's rows are scored against many anchors at once. Both sides
+of every join grow with the table, so the joins sort and merge: none is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -78,7 +79,10 @@ def centroids(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SEED) ->
 
 
 def nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return ((words**2).sum(1) - 2 * x @ words.T).argmin(1) if len(x) else np.empty(0, np.int64)
+    """The nearest word of each row; distances of a few rows at a time are held at once."""
+    squares = (words**2).sum(1)
+    near = [(squares - 2 * x[at : at + ROWS_AT_ONCE] @ words.T).argmin(1) for at in range(0, len(x), ROWS_AT_ONCE)]
+    return np.concatenate(near) if near else np.empty(0, np.int64)
 
 
 class Lists:
@@ -243,7 +247,7 @@ def _found(asked: DataFrame, packed: DataFrame, dim: int, k: int, same: bool) ->
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, best())), names)
 
-    met = asked.join(packed, "list").select("a_ids", "a_labels", "a_vectors", "windows", "ids", "labels", "vectors")
+    met = asked.join(packed.hint("merge"), "list").select("a_ids", "a_labels", "a_vectors", "windows", "ids", "labels", "vectors")
     return map_batches(met, run, "anchor_id long, positive long, vec_id long, score long")
 
 
@@ -262,7 +266,7 @@ def search(anchors: DataFrame, packed: DataFrame, lists: Lists, dim: int, k: int
         if first < count:
             kth = found.where(F.col("rank") == k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("positive", "score"))).alias("kth"))  # an entry for each window
             told = lambda w: F.coalesce(F.element_at("kth", w["positive"]), w["kth"])
-            state = anchors.join(kth, "anchor_id", "left").select("anchor_id", "label", "embedding", F.transform("windows", lambda w: F.struct(w["positive"], w["low"], w["high"], F.when(F.col("kth").isNull(), w["kth"]).otherwise(told(w)).alias("kth"))).alias("windows"))
+            state = anchors.join(kth.hint("merge"), "anchor_id", "left").select("anchor_id", "label", "embedding", F.transform("windows", lambda w: F.struct(w["positive"], w["low"], w["high"], F.when(F.col("kth").isNull(), w["kth"]).otherwise(told(w)).alias("kth"))).alias("windows"))
     return found
 
 
@@ -296,9 +300,9 @@ def mine(vectors: DataFrame, every: int = 50, positives: int = POSITIVES, negati
     named = found.groupBy("anchor_id", F.col("vec_id").alias("positive")).agg(F.max("score").alias("score"))
     pairs = cut(named.select("anchor_id", "positive", F.col("score").alias("positive_score"), least.alias("low"), most.alias("high")), "negatives-positives")
     windows = pairs.where("low <= high").groupBy("anchor_id").agg(F.collect_list(_window(F.col("positive"), F.col("low"), F.col("high"))).alias("windows"))  # POSITIVES at most
-    ranged = cut(chosen.join(windows, "anchor_id").select("anchor_id", "label", "embedding", "windows"), "negatives-windows")
+    ranged = cut(chosen.join(windows.hint("merge"), "anchor_id").select("anchor_id", "label", "embedding", "windows"), "negatives-windows")
     hard = search(ranged.repartition(-(-max(ranged.count(), 1) // ANCHORS_AT_ONCE)), packed, lists, dim, negatives, same=False)
-    return hard.join(pairs, ["anchor_id", "positive"]).select("anchor_id", F.col("positive").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+    return hard.join(pairs.hint("merge"), ["anchor_id", "positive"]).select("anchor_id", F.col("positive").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

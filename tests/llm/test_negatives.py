@@ -89,3 +89,19 @@ def test_far_lists_are_not_visited():
 @pytest.mark.parametrize("rows", [[], [(3, [1.0, 2.0], 1, 0, 0)], [(50, [1.0, 2.0], 1, 0, 0)], [(50, [], 1, 0, 0), (51, [], 1, 0, 0), (52, [], 2, 0, 0)]])
 def test_nothing_to_find(spark, rows):
     check(spark, rows)
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, cut = [], negatives.cut
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(negatives, "cut", seen)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 3), [float(v) for v in rng.normal(size=4)]) for i in range(2_000)]
+    found = negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
