@@ -13,14 +13,19 @@ SIZES = (1, 2, 3)
 LISTED = 300  # n-grams of a profile and of a text
 
 
-def ngrams(texts: DataFrame) -> DataFrame:
-    """id, gram and n of every text (id, text): n-grams of its words, with the words' edges marked. Null text has none."""
-    words = texts.select("id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("id", "w").agg(F.count("*").alias("n"))
+def ngrams(texts: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, gram and n of every text (id, text): n-grams of its words, with the words' edges marked. Null text has none.
+
+    Whole texts are dealt by id, in ``parts`` so small that a part's n-grams fit in memory; words and n-grams, many times the
+    texts' size, are counted where they arise, and what goes on by id needs no other shuffle.
+    """
+    dealt = texts.select("id", "text").repartition(*([parts] if parts else []), "id")
+    words = dealt.select("id", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("id", "w").agg(F.count("*").alias("n"))
     marked = words.select("id", F.concat(F.lit("_"), "w", F.lit("_")).alias("w"), "n")
     # a word and its marks have three characters at least
     of = lambda k: F.transform(F.sequence(F.lit(1), F.length("w") - (k - 1)), lambda i: F.substring(F.col("w"), i, F.lit(k)))
-    parts = F.flatten(F.array(*map(of, SIZES)))
-    return marked.select("id", F.explode(parts).alias("gram"), "n").where("gram <> '_'").groupBy("id", "gram").agg(F.sum("n").alias("n"))
+    grams = F.flatten(F.array(*map(of, SIZES)))
+    return marked.select("id", F.explode(grams).alias("gram"), "n").where("gram <> '_'").groupBy("id", "gram").agg(F.sum("n").alias("n"))
 
 
 def _listed(counted: DataFrame, by: str, listed: int) -> DataFrame:
@@ -41,6 +46,6 @@ def detect(grams: DataFrame, known: DataFrame, listed: int = LISTED) -> DataFram
     An n-gram gains ``listed`` less the distance of its ranks, which is the out-of-place measure counted from the other end.
     """
     own = _listed(grams, "id", listed).withColumnRenamed("rank", "own")
-    gains = own.join(known, "gram").groupBy("id", "lang").agg(F.sum(listed - F.abs(F.col("own") - F.col("rank"))).cast("bigint").alias("gain"))
+    gains = own.join(F.broadcast(known), "gram").groupBy("id", "lang").agg(F.sum(listed - F.abs(F.col("own") - F.col("rank"))).cast("bigint").alias("gain"))
     best = gains.groupBy("id").agg(F.min(F.struct((-F.col("gain")).alias("g"), "lang")).alias("b"))
     return best.select("id", F.col("b.lang").alias("detected"), (-F.col("b.g")).alias("gain"))

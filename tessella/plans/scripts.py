@@ -10,10 +10,11 @@ from tessella.functions import scripts
 from tessella.functions.bidi import visual_order
 from tessella.operators import attention, languages
 from tessella.operators.ranking import with_running
-from tessella.runtime import cut, ship_code
+from tessella.runtime import bytes_of, cut, ship_code
 from tessella.sources.tables import line_scan, table
 
 DIGITS = 9
+PART_BYTES = 4_000_000  # of texts as they are stored, in one part
 HEADS, NEAR, SLOPE = 4, 8, 0.05
 
 _SIGNS = "".join(c for c in (chr(k) for a, b in scripts.RANGES for k in range(a, b + 1)) if scripts.unicodedata.category(c) != "Cn")
@@ -46,7 +47,8 @@ def language_detection(spark: SparkSession, base: str) -> DataFrame:
     """The language of every document by profiles of those outside of its fold (a quarter of the ids is held out)."""
     docs = table(spark, base, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     held_out = F.col("id") % 4 == 0
-    grams = cut(languages.ngrams(docs), "language-grams")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(docs) // PART_BYTES))
+    grams = languages.ngrams(docs, parts)  # counted for each use: written, they are many times the texts
     known = cut(languages.profiles(grams, docs.where(~held_out).select("id", "lang")), "language-profiles")
     found = docs.select("id", "lang", held_out.alias("held_out")).join(languages.detect(grams, known), "id", "left")
     return found.select(F.col("id").alias("doc_id"), "lang", "held_out", "detected", "gain")

@@ -63,3 +63,16 @@ def test_token_stats_at_the_share_itself(spark, tmp_path):
     texts += [" ".join(["Pqr"] * 21 + ["pqr"] * 9)] * 2 + [" ".join(["Pqr"] * 20 + ["pqr"] * 9), "Pqr"]
     ours, theirs = both(spark, tmp_path / "t", "token_stats", documents=documents(texts))
     assert ours == theirs
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_are_counted_where_they_arise(spark):
+    from tessella.operators import languages
+
+    docs = spark.createDataFrame([(i, "le la de und", "fr") for i in range(20)], "id long, text string, lang string")
+    grams = languages.ngrams(docs, 3)
+    assert plan(grams).count("Exchange") == 1
+    assert plan(languages.detect(grams, languages.profiles(grams, docs).localCheckpoint())).count("Exchange hashpartitioning") == 1
