@@ -8,12 +8,10 @@ the token before it, so that every other rule looks at neighbours only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import capitalise
+from tessella.functions.text import capitalise, let
 
 #: Fixed values of the rules.
 VOWELS = ("i", "u", "o", "a", "e")
@@ -40,11 +38,6 @@ def _joins(token: Column, before: Column, following: Column) -> Column:
     return F.coalesce(token.isin(*DASHES) & F.rlike(before, F.lit(ALNUM)) & F.rlike(following, F.lit(ALNUM)), F.lit(False))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def detokenised(tokens: Column, tags: Column | None = None) -> Column:
     """The sentence of an array of tokens; ``tags``, a map from token to part of speech, keeps some from contracting.
 
@@ -54,7 +47,7 @@ def detokenised(tokens: Column, tags: Column | None = None) -> Column:
     The first character becomes upper case if more than one piece was written; ``<unk>`` becomes a space.
     Null gives null, no tokens an empty sentence.
     """
-    return F.when(F.size(tokens) == 0, "").otherwise(_let(tokens, lambda t: _joined(t, tags)))
+    return F.when(F.size(tokens) == 0, "").otherwise(let(tokens, lambda t: _joined(t, tags)))
 
 
 def _joined(tokens: Column, tags: Column | None) -> Column:
@@ -66,7 +59,7 @@ def _joined(tokens: Column, tags: Column | None) -> Column:
 
     def marked(near: Column) -> Column:
         found = F.transform(near, lambda s: F.when(_contracts(s["x"], s["after"], tags), "c").when(_joins(s["x"], s["before"], s["after"]), "d").otherwise("."))
-        return _let(F.split(F.regexp_replace(F.array_join(found, ""), "([cd]).", "$1x"), ""), lambda marks: _let(written(near, marks), lambda s: finished(s, marks)))
+        return let(F.split(F.regexp_replace(F.array_join(found, ""), "([cd]).", "$1x"), ""), lambda marks: let(written(near, marks), lambda s: finished(s, marks)))
 
     def written(near: Column, marks: Column) -> Column:
         marks_before = F.concat(none, F.slice(marks, F.lit(1), F.size(tokens) - 1))
@@ -97,4 +90,4 @@ def _joined(tokens: Column, tags: Column | None) -> Column:
         cased = F.when(pieces > 1, capitalise(sentence)).otherwise(sentence)
         return F.trim(F.regexp_replace(F.replace(cased, F.lit("<unk>"), F.lit(" ")), r"\s+", " "))
 
-    return _let(near, marked)
+    return let(near, marked)

@@ -76,3 +76,14 @@ def test_ngrams_are_counted_where_they_arise(spark):
     grams = languages.ngrams(docs, 3)
     assert plan(grams).count("Exchange") == 1
     assert plan(languages.detect(grams, languages.profiles(grams, docs).localCheckpoint())).count("Exchange hashpartitioning") == 1
+
+
+def test_multi_hot_computes_its_ids_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import sequences
+
+    made = spark.createDataFrame([([3, 1, 3],), ([],)], "v array<int>").select(sequences.multi_hot(F.col("v"), 4).alias("hot"))
+    assert [r["hot"] for r in made.collect()] == [[0.0, 1.0, 0.0, 1.0], [0.0] * 4]
+    # the ids themselves stand outside of what is done for each place
+    assert "array_contains(v" not in plan(made)
