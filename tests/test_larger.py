@@ -87,3 +87,14 @@ def test_multi_hot_computes_its_ids_once(spark):
     assert [r["hot"] for r in made.collect()] == [[0.0, 1.0, 0.0, 1.0], [0.0] * 4]
     # the ids themselves stand outside of what is done for each place
     assert "array_contains(v" not in plan(made)
+
+
+def test_a_packed_token_is_split_once(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import sequences
+
+    made = spark.createDataFrame([("1,2,3,4,2,7,8,1,9|Ab",)], "t string").select(sequences.parse_token(F.col("t")).alias("p"))
+    p = made.first()["p"]
+    assert (p["lm_stem"], p["stem"], p["extra"], p["affixes"], p["surface"]) == (1, 4, [7, 8], [9], "ab")
+    assert plan(made).count("split(") == 1
