@@ -98,3 +98,9 @@ def test_a_packed_token_is_split_once(spark):
     p = made.first()["p"]
     assert (p["lm_stem"], p["stem"], p["extra"], p["affixes"], p["surface"]) == (1, 4, [7, 8], [9], "ab")
     assert plan(made).count("split(") == 1
+
+
+def test_copied_words_come_from_asked_texts_only(spark):
+    from tessella.plans import models
+
+    assert "LeftSemi" in plan(models.copy_choice(spark, BASE))
