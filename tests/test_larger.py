@@ -104,3 +104,9 @@ def test_copied_words_come_from_asked_texts_only(spark):
     from tessella.plans import models
 
     assert "LeftSemi" in plan(models.copy_choice(spark, BASE))
+
+
+def test_followed_words_come_from_asked_texts_only(spark):
+    from tessella.plans import models
+
+    assert "LeftSemi" in plan(models.copy_extension(spark, BASE))
