@@ -120,8 +120,8 @@ def label_stream(lines: DataFrame, key: list[str], order: list[str]) -> DataFram
     packed = packed.join(ends, [*same, F.col("seq") == F.col("_next")], "left").select(*key, "seq", "lines", "above")
 
     def read(batch: pa.RecordBatch) -> Iterator[list[dict]]:
-        for rows, above in zip(batch.column("lines").to_pylist(), batch.column("above").to_pylist()):
-            found = [r["facts"] for r in rows]
+        for i in range(batch.num_rows):  # one stretch at a time is Python's
+            found, above = batch.column("lines")[i].values.field("facts").to_pylist(), batch.column("above")[i].as_py()
             for x in found:
                 x["up"] = above is not None and x["y"] is not None and x["y"] <= above
                 above = x["y"]
@@ -139,14 +139,12 @@ def label_stream(lines: DataFrame, key: list[str], order: list[str]) -> DataFram
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for found, state in zip(read(batch), batch.column("state").to_pylist()):
-                s, rows = pickle.loads(state), []
+            for i, found in enumerate(read(batch)):
+                s, rows = pickle.loads(batch.column("state")[i].as_py()), []
                 for x in found:
                     s, kind = follow(s, x)
                     rows.append({"class": kind, "number": s.number, "lang": s.lang})
-                out.append(rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*key, "lines"]), pa.array(out, label)], [*key, "lines", "labels"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in [*key, "lines"]), pa.array([rows], label)], [*key, "lines", "labels"])
 
     kind = T.ArrayType(T.StructType([T.StructField("class", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("lang", T.StringType())]))
     met = packed.join(states, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*key, "seq"])])

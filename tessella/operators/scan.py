@@ -73,7 +73,7 @@ def pickled_states(functions: DataFrame, key: list[str], first: object, compose:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for fns in batch.column("fns").to_pylist():
+                for fns in (x.as_py() for x in batch.column("fns")):
                     whole = pickle.loads(fns[0]["fn"])
                     for x in fns[1:]:
                         whole = compose(whole, pickle.loads(x["fn"]))
@@ -88,7 +88,7 @@ def pickled_states(functions: DataFrame, key: list[str], first: object, compose:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
-                for fns, begin in zip(batch.column("fns").to_pylist(), batch.column("begin").to_pylist()):
+                for fns, begin in ((x.as_py(), y.as_py()) for x, y in zip(batch.column("fns"), batch.column("begin"))):
                     state, rows = pickle.loads(begin), []
                     for x in fns:
                         rows.append({"seq": x["seq"], "state": pickle.dumps(state)})
