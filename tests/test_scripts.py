@@ -94,6 +94,33 @@ def test_attention_equals_two_passes(spark, monkeypatch, block, merge, causal):
         assert got[k][0] == pytest.approx(lse, abs=1e-12) and got[k][1] == pytest.approx(out.tolist(), abs=1e-12)
 
 
+def test_attention_writes_and_deals_in_proportion_to_the_tokens(spark, monkeypatch):
+    """No partial results of two tiles are written, and each block of queries is one, however many keys it meets."""
+    written = []
+    monkeypatch.setattr(attention, "cut", lambda df, name, cut=attention.cut: (out := cut(df, name), written.append(out.count()))[0])
+    for n in (100, 400):
+        tokens = spark.range(n).selectExpr("'a' AS seq", "id AS pos", "array(sin(id), cos(id)) AS v", "id % 7 = 1 AS hidden")
+        written.append(0)
+        assert attention.attend(tokens, 1, lambda away: 0.0 * away, True, 2).count() == n
+    first, second = written.index(0), len(written) - 1 - written[::-1].index(0)
+    assert sum(written[second:]) <= 4 * sum(written[first:second])
+
+
+@pytest.mark.parametrize(("most", "blocks", "causal"), [(4, 2, True), (5, 3, False), (1000, 1, True), (1, 64, True)])
+def test_attention_by_blocks_of_any_size(spark, monkeypatch, most, blocks, causal):
+    monkeypatch.setattr(attention, "MOST", most)
+    monkeypatch.setattr(attention, "BLOCKS", blocks)
+    monkeypatch.setattr(attention, "AT_ONCE", 2)
+    tokens = spark.range(23).selectExpr("1 AS seq", "id AS pos", "array(sin(id), cos(id)) AS v", "id IN (0, 5, 6) AS hidden")
+    got = {r["pos"]: (r["lse"], r["out"]) for r in attention.attend(tokens, 1, lambda away: -0.1 * np.abs(away), causal, 2).collect()}
+    v = np.array([[np.sin(k), np.cos(k)] for k in range(23)])
+    assert sorted(got) == list(range(23))
+    for q, (lse, out) in got.items():
+        seen = [k for k in range(23) if k not in (0, 5, 6) and (k <= q or not causal)]
+        e = np.exp([v[q] @ v[k] / 2**0.5 - 0.1 * abs(k - q) for k in seen])
+        assert lse is None and out == [0, 0] if not seen else lse == pytest.approx(np.log(e.sum()), abs=1e-12) and out == pytest.approx((e @ v[seen] / e.sum()).tolist(), abs=1e-12)
+
+
 @pytest.mark.parametrize(
     ("line", "shown"),
     [
