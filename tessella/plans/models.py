@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions import activations, scoring, text
 from tessella.operators import copying, vaccine
+from tessella.runtime import bytes_of
 from tessella.sources.tables import table
 
 DIGITS = 9
 POSITIONS, LONGEST, BEAM = 64, 16, 4
 TASKS, BETA = 3, 0.1
+PART_BYTES = 4_000_000  # of texts as they are stored, in one part
 
 
 def _vectors(spark: SparkSession, base: str) -> DataFrame:
@@ -22,7 +24,9 @@ def _choice(spark: SparkSession, base: str) -> DataFrame:
     """A vector gives the copy probabilities of 64 positions; the words of the document of its number stand at them, place after place."""
     probs = _vectors(spark, base).select(F.col("vec_id").alias("n"), F.posexplode(F.transform("v", lambda x: F.round(1 / (1 + F.exp(-x)), 12))).alias("pos", "p"))
     # only texts that have a vector are taken apart, dealt whole by their number, so that their words are counted where they arise
-    asked = table(spark, base, "documents").select(F.col("doc_id").alias("n"), "text").join(_vectors(spark, base).select(F.col("vec_id").alias("n")), "n", "left_semi").repartition("n")
+    docs = table(spark, base, "documents").select(F.col("doc_id").alias("n"), "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(docs) // PART_BYTES))
+    asked = docs.join(_vectors(spark, base).select(F.col("vec_id").alias("n")), "n", "left_semi").repartition(parts, "n")
     placed = asked.select("n", F.posexplode(text.tokens(F.col("text"))).alias("place", "word"))
     words = placed.groupBy("n", "word", (F.col("place") % POSITIONS).cast("int").alias("pos")).agg(F.min("place").alias("place"))
     return copying.copy_choice(probs, words)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -24,6 +25,21 @@ def plain_choice(probs, words):
     return out
 
 
+def test_copied_words_stay_where_their_hypothesis_is(spark):
+    """Words dealt by hypothesis are dealt no more: neither to meet the probabilities nor to be grouped by word."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        probs = spark.range(40).selectExpr("id div 4 AS n", "CAST(id % 4 AS INT) AS pos", "id / 40 AS p")
+        words = spark.range(40).selectExpr("id div 4 AS n", "CAST(id % 4 AS INT) AS pos", "CAST(id % 3 AS STRING) AS word", "id AS place").repartition("n")
+        plan = copying.copy_choice(probs, words)._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert dealt and not any("word#" in by or "pos#" in by for by in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_copy_choice_equals_a_loop(spark):
     rng = random.Random(8)
     probs = {n: {k: rng.choice([0.0, 0.1, 0.5, 0.6, 0.9]) for k in range(rng.randint(1, 9))} for n in range(60)}
