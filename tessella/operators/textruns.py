@@ -1,16 +1,23 @@
 """Lines, runs and lexicon parts of a page's pieces of text: a total order first, then runs of one look.
 
 Pieces are ordered by lines, then from left to right. A line is all that stands little lower than its first piece, so the
-order is total whatever the heights are. Runs and entries are windows over that order; a page's lines are a fold over its
-different heights that keeps one number for each line.
+order is total whatever the heights are. Entries are windows over that order; runs are found by one pass of Arrow batches over
+it, in which only the open run is kept; a page's lines are a fold over its different heights that keeps one number for each line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text as words
+from tessella.runtime import ship_code
 
 #: Share of both heights by which a piece may stand lower than its line's first.
 LINE_SHARE = 0.25
@@ -52,29 +59,140 @@ def text_runs(pieces: DataFrame, key: list[str], order: list[str], care_about_fo
     solid pieces; without ``care_about_font``, nor do pieces of the same y. A run looks like its last solid piece; y and h are its
     smallest. Runs without a solid piece and those that reach up to ``least_y`` go. Null text is blank.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
+    return _found(pieces, key, [F.col(c) for c in order], care_about_font, least_y, lambda batches: batches)
+
+
+def runs_in_lines(pieces: DataFrame, key: list[str], care_about_font: bool = True, least_y: float = 0.0) -> DataFrame:
+    """``text_runs`` of pieces in the lines of ``with_lines``, from left to right in each; pieces are ordered once, by height, and pass once.
+
+    A line's pieces are held until the next line begins.
+    """
+    y, h = F.coalesce(F.col("y").cast("double"), F.lit(0.0)), F.coalesce(F.col("h").cast("double"), F.lit(0.0))
+    return _found(pieces, key, [y, h.desc()], care_about_font, least_y, lambda batches: in_lines(batches, key))
+
+
+def _found(pieces: DataFrame, key: list[str], order: list[Column], care_about_font: bool, least_y: float, sorted_: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The runs of pieces that are ordered by ``order`` in each page and then by ``sorted_`` as they pass."""
+    ship_code(pieces.sparkSession)
     said = F.coalesce(F.col("text"), F.lit(""))
-    bare = words.squeeze(said)
-    look = F.struct("font_size", "colour", "font", "y", "x")
-    rows = pieces.withColumn("_place", F.row_number().over(w)).withColumn("_solid", (bare != "") & ~bare.isin(*SMALL))
-    before = F.last(F.when(F.col("_solid"), look), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_p", before)
-    other = ~(F.struct("font_size", "colour", "font").eqNullSafe(F.struct("_p.font_size", "_p.colour", "_p.font")))
-    far = (F.col("y") - F.col("_p.y")) / F.col("_p.font_size") > GAP
-    breaks = F.col("_p").isNotNull() & F.col("_solid") & (other | F.coalesce(far, F.lit(False)))
+    solid = ~F.rlike(said, F.lit(rf"\A\s*[{''.join(SMALL).replace('-', chr(92) + '-').replace('&', chr(92) + '&')}]?\s*\z"))
+    # the window deals the pieces by page and orders them; with the place it has nothing else to do
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    rows = pieces.select(*key, said.alias("text"), "font_size", "font", "colour", "x", "y", "h", solid.alias("solid"), place.alias("place"))
+    of = {f.name: f.dataType for f in rows.schema}
+    made = [*((k, of[k]) for k in key), ("run", T.LongType()), *((c, of[c]) for c in ("text", "font_size", "font", "colour", "x", "y", "h")), ("n", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return runs_of_batches(sorted_(batches), key, care_about_font, least_y)
+
+    found = rows.mapInArrow(run, T.StructType([T.StructField(name, kind) for name, kind in made]))
+    return found.withColumn("text", words.squeeze(F.col("text")))
+
+
+def in_lines(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """Pieces that come by page, y and falling h, in the order of their lines and, in each, of x; nulls of x come first."""
+    before, line_y, line_h, open_ = None, 0.0, 0.0, []
+
+    def ordered(rows: list[pa.RecordBatch], line: np.ndarray) -> pa.RecordBatch:
+        whole = pa.concat_batches(rows)
+        x = pc.cast(whole.column("x"), pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        return whole.take(pa.array(np.lexsort((x, line))))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if before is None else pa.concat_batches([before, batch])
+        number = lambda c: pc.cast(rows.column(c), pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        y, h = number("y"), number("h")
+        page = np.logical_or.reduce([np.diff(_codes(rows.column(k)), prepend=-1) != 0 for k in key])
+        level = page | (np.diff(y, prepend=np.inf) != 0)
+        skip = int(before is not None)  # the row before the batch is there to compare with
+        at = np.flatnonzero(level[skip:]) + skip
+        starts = []
+        for i, new, y_i, h_i in zip(at.tolist(), page[at].tolist(), y[at].tolist(), h[at].tolist()):
+            if new or y_i > line_y + LINE_SHARE * (line_h + h_i):
+                line_y, line_h = y_i, h_i
+                starts.append(i - skip)
+        before = batch.slice(batch.num_rows - 1)
+        if not starts:
+            open_.append(batch)
+            continue
+        closed = np.zeros(starts[-1], np.int64)
+        closed[starts[:-1]] = 1
+        held = sum(b.num_rows for b in open_)
+        if held + starts[-1]:
+            yield ordered([*open_, batch.slice(0, starts[-1])], np.concatenate([np.zeros(held, np.int64), np.cumsum(closed)]))
+        open_ = [batch.slice(starts[-1])]
+    if open_:
+        yield ordered(open_, np.zeros(sum(b.num_rows for b in open_), np.int64))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the values are; null equals null."""
+    return pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+
+
+def runs_of_batches(batches: Iterator[pa.RecordBatch], key: list[str], care_about_font: bool, least_y: float) -> Iterator[pa.RecordBatch]:
+    """The runs of pages' pieces in order, whole pages one after the other; of a batch's last run one row goes on to the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        batch = batch.drop_columns(["place"]).append_column("min_y", batch.column("y")).append_column("min_h", batch.column("h"))
+        batch = batch.append_column("n", pa.array(np.ones(batch.num_rows, np.int64))).append_column("run", pa.array(np.zeros(batch.num_rows, np.int64)))
+        found = _runs_of(batch if held is None else pa.concat_batches([held, batch]), key, care_about_font)
+        held = found.slice(found.num_rows - 1)
+        if found.num_rows > 1:
+            yield _shown(found.slice(0, found.num_rows - 1), key, least_y)
+    if held is not None:
+        yield _shown(held, key, least_y)
+
+
+def _runs_of(rows: pa.RecordBatch, key: list[str], care_about_font: bool) -> pa.RecordBatch:
+    """One row for each run, as its last solid piece looks, with its whole text, smallest y and h and number of pieces. The first row may
+    stand for the beginning of a run, then with that run's number."""
+    count = rows.num_rows
+    at = np.arange(count)
+    differs = lambda c: np.diff(_codes(rows.column(c)), prepend=-1) != 0
+    page = np.logical_or.reduce([differs(k) for k in key])
+    page[0] = True
+    solid = rows.column("solid").to_numpy(zero_copy_only=False)
+    last = np.maximum.accumulate(np.where(solid, at, -1))
+    before = np.concatenate([[-1], last[:-1]])
+    first = np.maximum.accumulate(np.where(page, at, 0))
+    known = before >= first
+    at_p = np.where(known, before, 0)
+    codes = [_codes(rows.column(c)) for c in ("font_size", "colour", "font")]
+    other = np.logical_or.reduce([c != c[at_p] for c in codes])
+    number = lambda c: pc.cast(rows.column(c), pa.float64()).to_numpy(zero_copy_only=False)
+    y, size = number("y"), number("font_size")[at_p]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = (size != 0) & ((y - y[at_p]) / size > GAP)
+    breaks = known & solid & (other | far)
     if not care_about_font:
-        breaks = breaks & ~F.col("y").eqNullSafe(F.col("_p.y"))
-    rows = rows.withColumn("run", F.sum(F.when(breaks, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    found = rows.groupBy(*key, "run").agg(
-        F.array_sort(F.collect_list(F.struct("_place", said.alias("t")))).alias("parts"),
-        F.max_by(look, F.when(F.col("_solid"), F.col("_place"))).alias("look"),
-        F.min("y").alias("y"),
-        F.min("h").alias("h"),
-        F.count("*").cast("bigint").alias("n"),
-    )
-    line = words.squeeze(F.array_join(F.transform("parts", lambda p: p["t"]), ""))
-    kept = found.where(F.col("look").isNotNull() & (F.col("y") > least_y))
-    return kept.select(*key, "run", line.alias("text"), "look.font_size", "look.font", "look.colour", "look.x", "y", "h", "n")
+        c = _codes(rows.column("y"))
+        breaks &= c != c[at_p]
+    begins = np.flatnonzero(page | breaks)
+    ends = np.append(begins[1:], count)
+    broken = np.cumsum(breaks)
+    run = broken - broken[first] + np.where(first == 0, rows.column("run")[0].as_py(), 0)
+    looks = last[ends - 1]
+    has = looks >= begins
+    looks = np.where(has, looks, begins)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begins, count), pa.int32()), rows.column("text")), "")
+    least = lambda c: (lambda x: pa.array(x, mask=np.isnan(x)).cast(rows.column(c).type))(np.fmin.reduceat(number(c), begins))
+    out = {c: rows.column(c).take(pa.array(looks)) for c in rows.schema.names}
+    out |= {"text": text, "solid": pa.array(has), "min_y": least("min_y"), "min_h": least("min_h"), "run": pa.array(run[begins])}
+    out["n"] = pa.array(np.add.reduceat(rows.column("n").to_numpy(), begins))
+    return pa.RecordBatch.from_arrays([out[c] for c in rows.schema.names], schema=rows.schema)
+
+
+def _shown(runs: pa.RecordBatch, key: list[str], least_y: float) -> pa.RecordBatch:
+    """Runs with a solid piece that stand lower than ``least_y``."""
+    kept = runs.filter(pc.and_(runs.column("solid"), pc.fill_null(pc.greater(pc.cast(runs.column("min_y"), pa.float64()), least_y), False)))
+    names = {"y": "min_y", "h": "min_h"}
+    shown = [*key, "run", "text", "font_size", "font", "colour", "x", "y", "h", "n"]
+    return pa.RecordBatch.from_arrays([kept.column(names.get(c, c)) for c in shown], shown)
 
 
 def lexicon_part(meaning_colour: int) -> Column:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import textruns
+from tessella.runtime import bytes_of
 from tessella.sources.tables import line_scan, table
 
+PART_BYTES = 4_000_000  # of texts as they are stored, in one part
 MEANING_COLOUR = 255
 _PIECE = "CASE (line_no * 5 + pos) % 11 WHEN 0 THEN ':' WHEN 3 THEN '  ' WHEN 7 THEN '° ' ELSE concat(w, CASE WHEN (line_no + pos) % 13 = 5 THEN '•' ELSE ' ' END) END"
 _TURN = "(line_no * 2 + pos div 6 + doc_id) % 5"
@@ -24,7 +26,9 @@ def line_clusters(spark: SparkSession, base: str) -> DataFrame:
 
 def _runs(spark: SparkSession, base: str, care_about_font: bool = True) -> DataFrame:
     """Runs of all words of all documents. A word's place gives its look: documents stand for pages, every seventh line for a gap."""
-    lines = line_scan(table(spark, base, "documents").select("doc_id", "text"))
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(docs) // PART_BYTES))
+    lines = line_scan(docs.repartition(parts, "doc_id"))  # texts are dealt whole, so that their words arise where they are needed
     each = lines.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.posexplode(text.tokens(F.col("line"))).alias("pos", "w"))
     pieces = each.selectExpr(
         "doc_id", f"{_PIECE} AS text", "CAST(pos * 10 AS BIGINT) AS x", "line_no * 12 + line_no div 7 * 30 + pos % 3 AS y", "8 + pos % 2 AS h",
@@ -32,7 +36,7 @@ def _runs(spark: SparkSession, base: str, care_about_font: bool = True) -> DataF
         f"element_at(array('VOWLNL+Head', 'YARFYB+Body', 'YARFYB+Body', 'VOWLNL+Head', 'Other'), CAST({_TURN} + 1 AS INT)) AS font",
         f"CASE WHEN {_TURN} IN (1, 2) THEN 255 ELSE 0 END AS colour",
     )
-    return textruns.text_runs(textruns.with_lines(pieces, ["doc_id"]), ["doc_id"], ["line", "x"], care_about_font, 0.5)
+    return textruns.runs_in_lines(pieces, ["doc_id"], care_about_font, 0.5)
 
 
 def text_runs(spark: SparkSession, base: str) -> DataFrame:

@@ -79,3 +79,25 @@ def test_dictionary_by_hand(spark):
     runs = spark.createDataFrame([(1, k, t, size, font, colour) for k, (size, font, colour, t) in enumerate(said)], "doc int, run int, text string, font_size double, font string, colour int")
     got = [(r["entry"], r["meanings"]) for r in textruns.lexicon_of_runs(runs, ["doc"], 7).orderBy("entry_no").collect()]
     assert got == [("one", ["first goes on", "second"]), ("two", []), ("three", ["third"])]
+
+
+def test_runs_in_lines_equal_plain_loops(spark):
+    """However small the batches are in which the pieces come; every line is broken by some, every x is another."""
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for seed, care, least in ((3, True, 0.0), (4, False, 20.0)):
+                rows = [(*r[:3], float(r[1] * 37 % 2003), *r[4:]) for r in pieces(seed, 150)]
+                got = textruns.runs_in_lines(spark.createDataFrame(rows, SCHEMA), ["page"], care, least)
+                columns = ["page", "run", "text", "font_size", "font", "colour", "x", "y", "h", "n"]
+                assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, plain_runs(rows, plain_lines(rows), care, least)))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert textruns.runs_in_lines(spark.createDataFrame([], SCHEMA), ["page"]).count() == 0
+
+
+def test_words_are_dealt_with_their_texts_only(spark):
+    from tessella.plans import runs
+
+    plan = runs.text_runs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Generate") == 2
