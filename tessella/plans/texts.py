@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import generate, numbers, text
 from tessella.functions.detokenise import detokenised
+from tessella.operators import vocabulary
 from tessella.operators.ranking import with_running
 from tessella.operators.translate import lexicon_model, translate
+from tessella.runtime import cut
 from tessella.sources.tables import line_scan, table
 
 
@@ -61,13 +63,19 @@ _DOTTED = "CASE WHEN doc_id % 2 = 0 THEN '. . . … … ' || text || ' . .' ELSE
 
 def section_quality(spark: SparkSession, base: str) -> DataFrame:
     """Sections of 8 tokens or more, at least 0.4 of them known; known: seen in ten documents or more."""
-    words = _docs(spark, base).select("doc_id", text.collapse_dots(text.tokens(F.expr(_DOTTED))).alias("words"))
+    docs = vocabulary.dealt_whole(_docs(spark, base).select("doc_id", "text"), "doc_id")
+    words = docs.select("doc_id", text.collapse_dots(text.tokens(F.expr(_DOTTED))).alias("words"))
     each = words.select("doc_id", F.explode("words").alias("word"))
-    # one row for each document and word; counting by n keeps both uses' plans alike, so that they share one shuffle
     counts = each.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    known = counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("score")).where("score >= 10")
-    n_known = F.coalesce(F.sum(F.when(F.col("score").isNotNull(), F.col("n"))), F.lit(0))
-    good = counts.join(known, "word", "left").groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("n_tokens"), n_known.cast("bigint").alias("n_known"))
+    known = cut(counts.groupBy("word").agg(F.count_if(F.col("n") > 0).alias("score")).where("score >= 10"), "section-known")
+    met = vocabulary.with_listed(counts, known, "word", "score")
+    # a document's sum of all listed words in one row without a word, and its other words
+    part = met.groupBy("doc_id", F.when(F.col("score").isNull(), F.col("word")).alias("word")).agg(F.sum("n").alias("n"))
+    part = cut(part, "section-words")
+    others = part.where("word IS NOT NULL").join(known.select("word", F.lit(1).alias("known")), "word", "left")
+    rows = part.where("word IS NULL").withColumn("known", F.lit(1)).unionByName(others)
+    n_known = F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0))
+    good = rows.groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("n_tokens"), n_known.cast("bigint").alias("n_known"))
     return good.where("n_tokens >= 8 AND n_known / n_tokens >= 0.4")
 
 
