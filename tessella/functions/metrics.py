@@ -62,17 +62,17 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _numbered(grams: Column, n: int) -> Column:
-    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+def _numbered(grams: Column, n: int, h: int, r: int) -> Column:
+    return F.transform(grams, lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(h).alias("h"), F.lit(r).alias("r")))
 
 
 def clipped_counts(pairs: DataFrame, key: str, hyp: str, ref: str, orders: int = 4) -> DataFrame:
-    """n, matched and total over all pairs of ``key``, hyp and ref word arrays, for each order."""
-    each = None
-    for side in (hyp, ref):
-        grams = F.flatten(F.array(*[_numbered(ngrams(F.col(side), n), n) for n in range(1, orders + 1)]))
-        part = pairs.select(key, F.explode(grams).alias("x")).select(key, "x.n", "x.g", F.lit(int(side == hyp)).alias("h"), F.lit(int(side == ref)).alias("r"))
-        each = part if each is None else each.unionAll(part)
+    """n, matched and total over all pairs of ``key``, hyp and ref word arrays, for each order.
+
+    Both sides' n-grams come from one pass, so that those of pairs that were dealt by ``key`` are counted where they arise.
+    """
+    numbered = [_numbered(ngrams(F.col(side), n), n, int(side == hyp), int(side == ref)) for side in (hyp, ref) for n in range(1, orders + 1)]
+    each = pairs.select(key, F.explode(F.flatten(F.array(*numbered))).alias("x")).select(key, "x.*")
     counts = each.groupBy(key, "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
     return counts.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"))
 

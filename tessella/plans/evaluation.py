@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics, scoring, text
+from tessella.runtime import bytes_of
 from tessella.sources.tables import table
 
 DIGITS = 9
+PART_BYTES = 1_000_000  # of conversations as they are stored, in one part
 
 
 def _pairs(spark: SparkSession, base: str) -> DataFrame:
@@ -33,7 +35,9 @@ def bleu_corpus(spark: SparkSession, base: str) -> DataFrame:
     """Corpus BLEU and the mean hypothesis length."""
     pairs = _pairs(spark, base).select(F.concat_ws("_", "conv_id", "turn").alias("key"), text.tokens(F.col("hyp")).alias("h"), text.tokens(F.col("ref")).alias("r"))
     lengths = pairs.agg(F.sum(F.size("h")).alias("n_h"), F.sum(F.size("r")).alias("n_r"), F.avg(F.size("h")).alias("mean"))
-    logs = metrics.clipped_counts(pairs, "key", "h", "r").agg(F.avg(F.log(F.col("matched") / F.col("total"))).alias("logs"))
+    # a pair's n-grams are many times its texts: parts are small, and n-grams stay in theirs
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(table(spark, base, "conversations")) // PART_BYTES))
+    logs = metrics.clipped_counts(pairs.repartition(parts, "key"), "key", "h", "r").agg(F.avg(F.log(F.col("matched") / F.col("total"))).alias("logs"))
     brevity = F.least(F.lit(0.0), 1 - F.col("n_r") / F.col("n_h"))
     return logs.crossJoin(lengths).select(F.round(100 * F.exp(F.col("logs") + brevity), 6).alias("bleu"), F.round("mean", 4).alias("gen_len"))
 

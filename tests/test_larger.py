@@ -110,3 +110,12 @@ def test_followed_words_come_from_asked_texts_only(spark):
     from tessella.plans import models
 
     assert "LeftSemi" in plan(models.copy_extension(spark, BASE))
+
+
+def test_ngrams_are_counted_where_their_pair_is(spark):
+    from tessella.functions import metrics
+
+    pairs = spark.createDataFrame([("a", ["x", "y", "x"], ["x", "x", "x"]), ("b", [], ["x"]), ("a", ["z"], ["z"])], "key string, h array<string>, r array<string>").repartition(3, "key")
+    found = metrics.clipped_counts(pairs, "key", "h", "r")
+    assert plan(found).count("Exchange") == 2  # the pairs by key, the sums by order
+    assert {r["n"]: (r["matched"], r["total"]) for r in found.collect()} == {1: (3, 4), 2: (0, 2), 3: (0, 1)}
