@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import records, text
+from tessella.operators import vocabulary
 from tessella.sources.tables import line_scan, table
 
 
@@ -25,7 +26,8 @@ def name_list(spark: SparkSession, base: str) -> DataFrame:
     trimmed, each once, Latin letters only."""
     cells = _lines(spark, base).where("line_no > 0").select(F.explode(F.split("line", ",")).alias("cell")).select(records.trimmed_name(F.col("cell")).alias("name"))
     people = table(spark, base, "customer").select(records.trimmed_name(F.concat(F.lit("\t"), "c_name", F.lit(".’"))).alias("name"))
-    words = table(spark, base, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
+    docs = vocabulary.dealt_whole(table(spark, base, "documents").select("doc_id", "text"), "doc_id")
+    words = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
     counts = words.groupBy(F.lower("w").alias("t"), "doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.rlike("w", F.lit("^[A-Z]")), 1).otherwise(0)).alias("up"))
     stats = counts.groupBy("t").agg(F.count("*").alias("docs"), F.sum("n").alias("total"), F.sum("up").alias("up"))
     proper = stats.where("docs > 3 AND total > 6 AND up > 0.7 * total").select(records.trimmed_name(text.capitalise(F.col("t"))).alias("name"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -53,3 +54,11 @@ def test_words_of_the_list_are_not_dealt(spark, base):
         sequences.cut = cut
     kept = dict(left)["tfidf-left"]
     assert kept.where("score IS NULL").count() == 0 and kept.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_words_of_names_are_counted_where_their_text_is(spark):
+    from tessella.plans import records
+
+    plan = records.name_list(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert not any("doc_id#" in by and by.count("#") > 1 for by in dealt)
