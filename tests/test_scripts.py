@@ -179,3 +179,12 @@ def test_mirrors_come_in_pairs():
 
     assert [mirror(c) for c in "()[]{}<>«»≤a∑"] == list(")(][}{><»«≥a∑")
     assert all(mirror(mirror(c)) == c for c in map(chr, range(0x3100)))
+
+
+def test_letters_are_looked_up_once(monkeypatch):
+    from tessella.functions import bidi
+
+    asked, own = [], unicodedata.bidirectional
+    monkeypatch.setattr(bidi.unicodedata, "bidirectional", lambda c: (asked.append(c), own(c))[1])
+    assert bidi.seen("אב% ab " * 500) == bidi.seen("אב% ab " * 500)
+    assert len(asked) <= 6
