@@ -18,7 +18,7 @@ def best_options(logits: Column, beam: int) -> Column:
         shifted = F.aggregate(top, F.lit(0.0), lambda a, t: a + F.exp(top[0]["neg"] - t["neg"]))
         return F.transform(top, lambda t: F.struct((top[0]["neg"] - t["neg"] - F.log(shifted)).alias("lp"), F.array(t["id"]).alias("ids")))
 
-    return _once(F.slice(F.array_sort(keyed), 1, beam), of)
+    return once(F.slice(F.array_sort(keyed), 1, beam), of)
 
 
 def search(options: Callable[[Column], Column], bos: int, eos: int, beam: int, enough: int, longest: int, steps: int) -> Column:
@@ -41,12 +41,12 @@ def search(options: Callable[[Column], Column], bos: int, eos: int, beam: int, e
             kept = F.slice(F.array_sort(F.filter(e, lambda h: ~full(h))), 1, beam)
             return F.struct(kept.alias("pending"), F.concat(state["done"], F.filter(e, full)).alias("done"))
 
-        return F.when(F.size(state["done"]) < enough, _once(grown, dealt)).otherwise(state)
+        return F.when(F.size(state["done"]) < enough, once(grown, dealt)).otherwise(state)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scoring
 from tessella.operators.morphology import Tables, decode_words, search
+from tessella.runtime import cut
 from tessella.sources.tables import table
 
 HEADS = ("stem", "pos", "afset", "affix")
 SIZE, SPREAD = 16, 12.0  # ids of each head; how far components lie apart as logits
 EOS, BEAM, ENOUGH, STEPS = 2, 4, 3, 3
+PART = 1000  # vectors in a task
 
 _TYPES = """SELECT DISTINCT h.head, l_partkey % 16 AS id, CASE WHEN l_partkey % 16 % 4 = 3 THEN -1 ELSE l_partkey % 16 % 4 END AS wt
   FROM lineitem, (VALUES ('stem'), ('pos'), ('afset'), ('affix')) AS h(head) WHERE l_partkey % 16 >= 5 OR h.head = 'affix'"""
@@ -24,8 +26,8 @@ _AFSET_STEM = "SELECT l_partkey % 16 AS afset, l_suppkey % 16 AS stem, CAST(coun
 
 
 def _tables(spark: SparkSession, base: str) -> Tables:
-    """Stand-in dictionaries: ids are remainders of the items' keys."""
-    made = lambda sql: spark.sql(sql.replace("lineitem", "{lineitem}").replace("FROM orders", "FROM {orders}"), lineitem=table(spark, base, "lineitem"), orders=table(spark, base, "orders"))
+    """Stand-in dictionaries: ids are remainders of the items' keys. Written out, as every use would read the items again."""
+    made = lambda sql: cut(spark.sql(sql.replace("lineitem", "{lineitem}").replace("FROM orders", "FROM {orders}"), lineitem=table(spark, base, "lineitem"), orders=table(spark, base, "orders")), "morph-table")
     return Tables(*map(made, (_TYPES, _AFFIXES, _OWN, _SLOTS, _POS_STEM, _POS_AFSET, _AFSET_STEM)), stem_slot=F.lit(13) - F.col("wt") * 3)
 
 
@@ -37,13 +39,19 @@ def _heads(vectors: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "head", F.col("id").cast("bigint").alias("id"), F.round("p", 12).alias("p"))
 
 
+def _dealt(vectors: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows at most, in parts of about ``PART`` by their key, as one vector becomes some hundred words."""
+    return vectors.repartition(-(-n // PART) or 1, key)
+
+
 def _vectors(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
 
 def word_decode(spark: SparkSession, base: str) -> DataFrame:
     """All words of every vector's heads: type vote, cuts, slots, correlation, synthesis key."""
-    words = decode_words(_heads(_vectors(spark, base), ["vec_id"]), _tables(spark, base), ["vec_id"])
+    vectors = _vectors(spark, base)
+    words = decode_words(_heads(_dealt(vectors, "vec_id", vectors.count()), ["vec_id"]), _tables(spark, base), ["vec_id"])
     return words.select("vec_id", F.col("wt").cast("bigint").alias("wt"), "stem", "pos", "afset", F.col("n_free").cast("bigint").alias("n_free"), "prob", "synthesis")
 
 
@@ -60,12 +68,11 @@ def morph_beam(spark: SparkSession, base: str) -> DataFrame:
     mass = F.transform(F.slice("v", 1, 4), lambda x: F.abs(x) * 4 + 0.1)
     sentences = vectors.select(F.col("vec_id").alias("sentence"), mass.alias("mass"))
 
-    def score(front: DataFrame) -> DataFrame:
-        asked = front.select("sentence", "place", _state(n).alias("vec_id"))
-        return _heads(asked.join(vectors, "vec_id"), ["sentence", "place"])
+    def score(states: DataFrame) -> DataFrame:
+        return _heads(_dealt(states.join(vectors.withColumnRenamed("vec_id", "state"), "state"), "state", n), ["state"])
 
     finish = lambda logp, length: scoring.hypothesis_score(logp, length, F.col("mass"), F.lit(4), length)
-    return search(sentences, score, finish, _tables(spark, base), EOS, BEAM, ENOUGH, STEPS)
+    return search(sentences, score, finish, _tables(spark, base), EOS, BEAM, ENOUGH, STEPS, state=_state(n))
 
 
 QUERIES = {"word_decode": word_decode, "morph_beam": morph_beam}

@@ -1,11 +1,13 @@
 """Words from four heads, worked by hand."""
 
 import math
+from dataclasses import fields, replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import morphology
+from tessella.runtime import cut
 
 HEADS = [
     ("stem", 10, 0.6), ("stem", 11, 0.35), ("stem", 20, 0.04), ("stem", 12, 0.01),
@@ -71,3 +73,39 @@ def test_search_ends_with_eos_or_stays_pending(spark, tables):
     assert (got[2]["status"], got[2]["words"]) == ("none", None)
     got = {r["sentence"]: r for r in morphology.search(sentences, score, finish, tables, 77, 2, 1, 2).collect()}
     assert (got[1]["status"], got[1]["words"], got[1]["n_done"]) == ("pending", "10/10/10/ 10/10/10/", 0)
+
+
+def test_words_of_a_state_are_decoded_once(spark, monkeypatch):
+    """Every vector is asked for by the first round already; later rounds find its words there."""
+    from tessella.plans import morphs
+
+    rows, decoded = [], morphology.decode_words
+
+    def counted(heads, *args, **limits):
+        rows.append(heads.count())
+        return decoded(heads, *args, **limits)
+
+    monkeypatch.setattr(morphology, "decode_words", counted)
+    base = "/root/testdata/sf0.001"
+    assert morphs.morph_beam(spark, base).count() == 500
+    assert sum(rows) == 500 * len(morphs.HEADS) * morphs.SIZE
+
+
+def test_ids_of_a_key_are_shuffled_once_at_most(spark, tables):
+    """Heads dealt by their key stay where they are until they are words: with small tables no other exchange by the key."""
+    tables = replace(tables, **{f.name: cut(getattr(tables, f.name), "test") for f in fields(tables) if f.name != "stem_slot"})
+    rows = spark.createDataFrame([(k, *h) for k in range(3) for h in HEADS], "key int, head string, id long, p double").repartition(4, "key")
+    plan = morphology.decode_words(rows, tables, ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(key" in line for line in plan.splitlines()) == 1
+
+
+def test_options_keep_what_a_rounding_can_make_equal(spark):
+    """Words that end stay all; of the others those that may be among the two best once costs are rounded to nine digits."""
+    probs = {10: 0.5, 11: 0.3, 12: 0.3 - 1e-10, 13: 0.3 - 2e-10, 14: 0.2, 15: 0.1, 16: 0.05, 17: 0.01}
+    rows = [(1, k, 5, 5, p, "x") for k, p in probs.items()] + [(1, 2, 2, 2, 0.001, f"{i}") for i in range(5)] + [(2, 10, 5, 5, 0.0, "")]
+    words = spark.createDataFrame(rows, "state int, stem long, pos long, afset long, prob double, synthesis string")
+    got = {r["state"]: r for r in morphology._options(words, ["state"], 2, 2).collect()}
+    assert len(got[1]["ends"]) == 5 and got[2]["ends"] == []
+    kept = {x["stem"] for x in got[1]["goes_on"]}
+    assert kept >= {10, 11, 12, 13} and 17 not in kept
+    assert [(x["word"], round(x["cost"], 6)) for x in got[2]["goes_on"]] == [("10/5/5/", round(-math.log(1e-20), 6))]
