@@ -48,8 +48,9 @@ def language_detection(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
     held_out = F.col("id") % 4 == 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_of(docs) // PART_BYTES))
-    grams = languages.ngrams(docs, parts)  # counted for each use: written, they are many times the texts
-    known = cut(languages.profiles(grams, docs.where(~held_out).select("id", "lang")), "language-profiles")
+    learned = docs.withColumn("lang", F.when(~held_out, F.col("lang")))
+    grams = cut(languages.ngrams(learned, parts), "language-ngrams")
+    known = cut(languages.profiles(grams), "language-profiles")
     found = docs.select("id", "lang", held_out.alias("held_out")).join(languages.detect(grams, known), "id", "left")
     return found.select(F.col("id").alias("doc_id"), "lang", "held_out", "detected", "gain")
 

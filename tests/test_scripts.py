@@ -71,6 +71,41 @@ def test_held_out_accuracy(spark):
     assert sum(r["detected"] == r["lang"] for r in rows) / len(rows) > 0.9
 
 
+def test_texts_are_cut_into_ngrams_once(spark, monkeypatch):
+    from tessella.plans import scripts as plans
+
+    seen = []
+    monkeypatch.setattr(plans, "cut", lambda df, name, cut=plans.cut: (seen.append(df), cut(df, name))[1])
+    seen.append(plans.language_detection(spark, "/root/testdata/sf0.001"))
+    plan = "".join(df._jdf.queryExecution().executedPlan().toString() for df in seen)
+    assert plan.count("p{L}") > 0 and len(re.findall(r"(?:Project|Generate)[^\n]*p\{L\}", plan)) == 1
+
+
+def test_detection_of_odd_rows_equals_the_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(k, lang, f"{a} {b}{a} {a}") for k in range(40) for lang, a, b in [[("x", "abca", "éü"), ("y", "bcdd", "𐐨𐐩"), (None, "cab", "中文")][k % 3]]]
+    rows += [(5, "y", "ab ab cd"), (5, None, "xyz"), (6, "x", None), (8, "y", "zz"), (8, "y", "zz"), (None, "x", "abc"), (50, "x", ""), (51, "z", "1 2_3"), (52, None, None), (53, "y", "a"), (54, "w", "_a__b_")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, catalogue.queries()["language_detection"](spark, str(tmp_path)).select("doc_id", "lang", "held_out", "detected", "gain").collect()), key=repr)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(catalogue.oracle_sql()["language_detection"]).fetchall(), key=repr)
+    assert got == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
+def test_ngrams_of_stretches_are_those_of_the_text(monkeypatch, stretch):
+    monkeypatch.setattr(languages, "STRETCH", stretch)
+    rng = random.Random(4)
+    for _ in range(40):
+        words = ["".join(rng.choice("abé𐐨") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 6))]
+        keys, counts = languages._counted("_" + "_".join(words) + "_")
+        letters = ["".join(chr(k >> at & 0x1FFFFF) for at in (42, 21, 0) if k >> at & 0x1FFFFF) for k in keys.tolist()]
+        assert dict(zip(letters, counts.tolist())) == plain_grams(" ".join(words)) and letters == sorted(letters)
+    assert len(languages._counted("")[0]) == 0
+
+
 @pytest.mark.parametrize(("block", "merge", "causal"), [(64, 32, True), (3, 2, True), (2, 2, False), (1, 3, True)])
 def test_attention_equals_two_passes(spark, monkeypatch, block, merge, causal):
     monkeypatch.setattr(attention, "MERGE", merge)
